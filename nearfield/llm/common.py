@@ -77,7 +77,7 @@ def map_rows(
     Only the two named columns are read, so other columns of the input never clash with the output.
     ``ctx`` is called once per task.
     """
-    types = _arrow_schema(df.sparkSession, schema)
+    types = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         args = () if ctx is None else (ctx(),)
@@ -92,13 +92,32 @@ def map_rows(
     return chosen.mapInArrow(run, schema)
 
 
-def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+_PLAIN = {
+    "long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(),
+    "double": pa.float64(), "float": pa.float32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(),
+}
 
-    return to_arrow_schema(StructType.fromDDL(ddl))
+
+def _fields(text: str, sep: str) -> list[tuple[str, str]]:
+    """``name<sep>type`` items between the commas outside of angle brackets."""
+    items, depth = [""], 0
+    for c in text:
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            items.append("")
+        else:
+            items[-1] += c
+    return [tuple(x.strip() for x in i.strip().split(sep, 1)) for i in items]
+
+
+def _arrow_type(name: str) -> pa.DataType:
+    if name.startswith("array<"):
+        return pa.list_(_arrow_type(name[6:-1]))
+    if name.startswith("struct<"):
+        return pa.struct([pa.field(n, _arrow_type(t)) for n, t in _fields(name[7:-1], ":")])
+    return _PLAIN[name]
 
 
 def arrow_schema(ddl: str) -> pa.Schema:
-    """The Arrow schema of a Spark DDL string."""
-    return _arrow_schema(None, ddl)
+    """The Arrow schema of a Spark DDL string; needs no session, so tasks can call it."""
+    return pa.schema([pa.field(n, _arrow_type(t)) for n, t in _fields(ddl, " ")])
