@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from nearfield.plans.catalog import Catalog
 
-from . import bpe, chat, simhash, topk, urlfilter
+from . import bpe, chat, decontaminate, langid, quality, simhash, substrings, topk, toxicity, urlfilter
 from .common import table
 
 CATALOG = Catalog()
@@ -99,3 +99,46 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CATALOG.add("op8_bpe")
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), BYTE_BPE))
+
+
+def _fold(id_col: str, folds: int):
+    return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(folds))
+
+
+@CATALOG.add("op9_language")
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(_fold("doc_id", 4) != 2))
+    held = F.coalesce(_fold("doc_id", 4) == 2, F.lit(False))
+    return langid.predict(docs, model).withColumnRenamed("id", "doc_id").select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
+    """Learned from the labelled documents outside the held-out fold."""
+    labels = labels.select("doc_id", "toxic").where(_fold("doc_id", 5) != 0)
+    return toxicity.train(docs, labels)
+
+
+@CATALOG.add("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    held = F.coalesce(_fold("doc_id", 5) == 0, F.lit(False))
+    scored = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+@CATALOG.add("op2_decontaminate")
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@CATALOG.add("op4_substrings")
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@CATALOG.add("op1_quality")
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality.classify(table(spark, sf_dir, "documents"), trusted).withColumnRenamed("id", "doc_id")
