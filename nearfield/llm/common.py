@@ -3,31 +3,20 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfield.storage import fresh_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A named input table, read through Spark (the path may be in any store that Spark can open)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); a private one only where that is unset."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if shared:
-        return shared
-    own = getattr(scratch_dir, "own", None)
-    if own is None:
-        own = scratch_dir.own = tempfile.mkdtemp(prefix="nearfield-")
-    return f"file://{own}"
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     if jvm is not None:
@@ -48,7 +37,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     Survives the loss of any executor, unlike a cache or a local checkpoint.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path

@@ -8,6 +8,11 @@ keys within t_i finds every pair; each candidate is verified on all 64 bits.
 Copies are collapsed to one row per distinct fingerprint first. Inside a probed key only a spanning forest of the
 verified links leaves the task. Keys with many fingerprints are cut into chunks and met chunk pair by chunk pair, so no
 task holds or compares more than two chunks at a time.
+
+:func:`near_duplicates` links by a radius on 64 bits, and finds every link. :func:`similar_documents` links by the
+Jaccard similarity of word shingles: fingerprints are wider, because at similarity 0.8 some 15 percent of the bits
+differ and no exact radius of that size can be probed; there the programme allots thresholds for the least cost at which
+a pair of the stated similarity is missed with a probability below ``miss``, and links are verified on the shingles.
 """
 
 from __future__ import annotations
@@ -24,7 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, map_rows, materialize
+from .pairs import with_texts
 from .components import Forest, connected_components
+from .words import WordIds, grams
 
 SEED = 42
 #: Most fingerprints of one chunk of a heavy key.
@@ -105,26 +112,32 @@ def _distance_law(p_differ: np.ndarray) -> np.ndarray:
     return law
 
 
-def make_plan(n: int, ones: np.ndarray, joint: np.ndarray, radius: int, probe_cost: float = 500.0) -> Plan:
-    """Choose partitions and thresholds. ``probe_cost``: the cost of a probe row in units of a verified candidate."""
+def _grouped(n: int, ones: np.ndarray, joint: np.ndarray, m: int) -> list[tuple[int, ...]]:
+    """64 bits in ``m`` partitions of even size; each grows by the free bit most correlated with what it holds."""
     p = ones / max(n, 1)
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-12))
     corr = np.abs(joint / max(n, 1) - np.outer(p, p)) / np.outer(spread, spread)
     np.fill_diagonal(corr, -1)
+    free, parts = set(range(64)), []
+    for k in range(m):
+        size = (64 + k) // m
+        part = [min(free, key=lambda b: (-corr[b, sorted(free)].max(), b))]
+        free.discard(part[0])
+        while len(part) < size:
+            b = max(free, key=lambda b: (corr[b, part].mean(), -b))
+            part.append(b)
+            free.discard(b)
+        parts.append(tuple(sorted(part)))
+    return parts
+
+
+def make_plan(n: int, ones: np.ndarray, joint: np.ndarray, radius: int, probe_cost: float = 500.0) -> Plan:
+    """Choose partitions and thresholds. ``probe_cost``: the cost of a probe row in units of a verified candidate."""
+    p = ones / max(n, 1)
     differ = 2 * p * (1 - p)
     best = None
     for m in range(1, radius + 2):
-        # Group correlated bits: a partition grows by the free bit most correlated with what it holds.
-        free, parts = set(range(64)), []
-        for k in range(m):
-            size = (64 + k) // m if m else 64
-            part = [min(free, key=lambda b: (-corr[b, sorted(free)].max(), b))]
-            free.discard(part[0])
-            while len(part) < size:
-                b = max(free, key=lambda b: (corr[b, part].mean(), -b))
-                part.append(b)
-                free.discard(b)
-            parts.append(tuple(sorted(part)))
+        parts = _grouped(n, ones, joint, m)
         # cost[i][t]: probe rows and candidates of partition i at threshold t; -1: none.
         total = radius - m + 1
         cost = []
@@ -236,22 +249,25 @@ def _verify(radius: int):
     return run
 
 
+def _in_cells(rows: DataFrame, spread: str, chunk: int) -> DataFrame:
+    """Deal out heavy buckets. One of c chunks becomes cells of two chunks each, which together hold all its pairs: the rows
+    of chunk x go to the c cells (min(x, y), max(x, y)), each with a bucket number of its own."""
+    heavy = rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 2 * chunk)
+    heavy = materialize(heavy, "heavy")
+    rows = rows.join(heavy, "bucket", "left").withColumn("c", F.coalesce(F.ceil(F.col("n") / chunk), F.lit(1)))
+    rows = rows.withColumn("x", F.pmod(F.xxhash64(spread), F.col("c")))
+    rows = rows.withColumn("y", F.explode(F.expr("sequence(0L, c - 1)")))
+    cell = F.xxhash64("bucket", F.least("x", "y"), F.greatest("x", "y"))
+    return rows.withColumn("bucket", F.when(F.col("c") == 1, F.col("bucket")).otherwise(cell))
+
+
 def links(distinct: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
     """``distinct(fp, id)``: each fingerprint once. Returns edges ``(u, v)`` whose components are those of all pairs
     of fingerprints with at most ``radius`` differing bits."""
     n, ones, joint = _bit_moments(distinct)
     plan = make_plan(n, ones, joint, radius)
     rows = distinct.select("fp", "id").mapInArrow(_probes(plan), _ROWS)
-    heavy = rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 2 * chunk)
-    heavy = materialize(heavy, "heavy")
-    # A heavy key of c chunks: the rows of chunk x go to the c cells (min(x, y), max(x, y)), each cell is a key of its own.
-    rows = rows.join(heavy, "bucket", "left").withColumn("c", F.coalesce(F.ceil(F.col("n") / chunk), F.lit(1)))
-    rows = rows.withColumn("x", F.pmod(F.xxhash64("fp"), F.col("c")))
-    rows = rows.withColumn("y", F.explode(F.expr("sequence(0L, c - 1)")))
-    cell = F.when(F.col("c") == 1, F.col("bucket")).otherwise(
-        F.xxhash64("bucket", F.least("x", "y"), F.greatest("x", "y"))
-    )
-    rows = rows.select(cell.alias("bucket"), "probe", "fp", "id")
+    rows = _in_cells(rows, "fp", chunk).select("bucket", "probe", "fp", "id")
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "probe").mapInArrow(_verify(radius), "u long, v long")
@@ -271,3 +287,228 @@ def near_duplicates(
     parts = connected_components(links(distinct, radius))
     named = distinct.join(parts, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return fps.join(named, "fp").select("id", "fp", "component_id")
+
+
+# ---------------------------------------------------------------------------------------------------------------------
+# Links by similarity, on wide fingerprints.
+
+#: 64-bit words of a wide fingerprint; those that travel with a probe and sift its candidates; bits of a partition.
+WIDE, SIFT, PART_BITS = 12, 2, 16
+
+
+def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
+    x = (x + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_set(ids: np.ndarray, width: int) -> np.ndarray:
+    """Distinct shingle hashes of a text's word ids; a shorter text is one shingle."""
+    return np.unique(grams(ids, min(width, len(ids)))) if len(ids) else np.empty(0, np.uint64)
+
+
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """``WIDE`` 64-bit words; zeros without a shingle."""
+    out = np.zeros(WIDE, np.uint64)
+    for k in range(WIDE if len(shingles) else 0):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(shingles), _BLOCK):
+            h = _mixed(shingles[at : at + _BLOCK], k + 1)
+            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(2 * ones > len(shingles), bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def differing_share(similarity: float) -> float:
+    """Expected share of differing bits at a Jaccard similarity (of sets of equal size)."""
+    return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+
+
+def allot(n: int, differ: list[np.ndarray], share: float, miss: float, probe_cost: float = 500.0) -> tuple[int, ...]:
+    """A threshold (-1, 0 or 1) for each partition, least cost at which a pair is missed with probability <= ``miss``.
+
+    ``differ``: the probability, for each bit of each partition, that it differs between two documents. Misses multiply,
+    so their logarithms add up; the programme runs over these in steps of 0.02.
+    """
+    step, need = 0.02, -math.log(miss)
+    goal = math.ceil(need / step)
+    best: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
+    for bits in differ:
+        w, law = len(bits), np.cumsum(_distance_law(bits))
+        hit = np.cumsum([math.comb(w, t) * share**t * (1 - share) ** (w - t) for t in range(2)])
+        options = [(-1, 0.0, 0)]
+        for t in range(2):
+            cost = n * (1 + t * w / 2) * probe_cost + n * n / 2 * law[min(t, w)]
+            options.append((t, cost, int(-math.log(1 - hit[t]) / step)))
+        new: dict[int, tuple[float, tuple[int, ...]]] = {}
+        for have, (v, ts) in best.items():
+            for t, cost, gain in options:
+                s = min(goal, have + gain)
+                if s not in new or v + cost < new[s][0]:
+                    new[s] = (v + cost, (*ts, t))
+        best = new
+    return best[max(best)][1]
+
+
+_WIDE_ROWS = "bucket long, probe boolean, id long, sift binary"
+
+
+def _wide_probes(plan: list[tuple[int, tuple[int, ...], int]]):
+    """``plan``: (word, bits, threshold) of each partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema(_WIDE_ROWS)
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                cut = b.slice(at, 4096)
+                ids = cut.column(0)
+                fps = np.frombuffer(b"".join(cut.column(1).to_pylist()), "<u8").reshape(-1, WIDE)
+                sift = pa.array([f.tobytes() for f in fps[:, :SIFT]], pa.binary())
+                for i, (word, bits, t) in enumerate(plan):
+                    keys = _keys(fps[:, word], bits)
+                    salt = np.uint64((i + 1) * 0x9E3779B97F4A7C15 % 2**64)
+                    for flip in [0, *(1 << k for k in range(len(bits)) if t > 0)]:
+                        other = keys ^ np.uint64(flip)
+                        keep = np.nonzero(other > keys)[0] if flip else np.arange(len(keys))
+                        if len(keep):
+                            bucket = (other[keep] * np.uint64(0xD6E8FEB86659FD93) ^ salt).view(np.int64)
+                            rows = pa.array(keep)
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(bucket), pa.array(np.full(len(keep), flip > 0)), ids.take(rows), sift.take(rows)], schema=schema
+                            )
+
+    return run
+
+
+def _nearest_tree(sift: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a minimum spanning forest over pairs with at most ``within`` differing bits (Prim, row by row)."""
+    n = len(sift)
+    dist, via = np.full(n, 1 << 20), np.full(n, -1)
+    left = np.ones(n, bool)
+    a, b = [], []
+    for _ in range(n):
+        x = int(np.where(left, dist, 1 << 21).argmin())
+        left[x] = False
+        if dist[x] <= within:
+            a.append(x)
+            b.append(via[x])
+        d = np.bitwise_count(sift ^ sift[x]).sum(axis=1, dtype=np.int64)
+        near = left & (d < dist)
+        dist[near], via[near] = d[near], x
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _sifted(within: int, small: int = 24):
+    """Rows sorted by bucket -> candidate pairs: a minimum spanning forest of each bucket's near pairs.
+
+    Distances are met first along diagonals of the sorted batch, for all buckets at once; only buckets in which some pair is near
+    get a tree. Own-key rows and probes of a bucket share one tree.
+    """
+
+    def pairs(bucket: np.ndarray, ids: np.ndarray, sift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        edges = np.flatnonzero(np.diff(bucket)) + 1
+        starts, stops = np.append(0, edges), np.append(edges, len(bucket))
+        size = stops - starts
+        out_a, out_b = [], []
+        hits = np.zeros(len(bucket), bool)
+        at_small = np.repeat(size <= small, size)
+        for shift in range(1, min(small, int(size.max()))):
+            same = np.flatnonzero((bucket[shift:] == bucket[:-shift]) & at_small[shift:])
+            if not len(same):
+                break
+            near = same[np.bitwise_count(sift[same] ^ sift[same + shift]).sum(axis=1) <= within]
+            hits[near] = True
+        for k in np.flatnonzero((size > small) | (np.add.reduceat(hits, starts) > 0)).tolist():
+            s, e = starts[k], stops[k]
+            a, b = _nearest_tree(sift[s:e], within)
+            out_a.append(ids[s + a])
+            out_b.append(ids[s + b])
+        if not out_a:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.concatenate(out_a), np.concatenate(out_b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [
+                b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), b.column(2).to_numpy(zero_copy_only=False).astype(np.int64),
+                np.frombuffer(b"".join(b.column(3).to_pylist()), "<u8").reshape(-1, SIFT),
+            ]
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols)]
+            first = int(np.searchsorted(cols[0], cols[0][-1]))
+            held = [c[first:] for c in cols]
+            if first:
+                yield from emit(*pairs(*(c[:first] for c in cols)))
+        if held is not None:
+            yield from emit(*pairs(*held))
+
+    def emit(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keep = a != b
+        a, b = np.maximum(a, b)[keep], np.minimum(a, b)[keep]
+        if len(a):
+            both = np.unique(np.column_stack([a, b]), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    return run
+
+
+def similar_pairs(fps: DataFrame, similarity: float, miss: float, chunk: int = 2048) -> DataFrame:
+    """``fps(id, fp)``: distinct wide fingerprints -> candidate pairs ``(a, b)``, a > b, at most one per row and bucket."""
+    differ, parts, n = [], [], 0
+    for word in range(WIDE):
+        value = F.conv(F.hex(F.reverse(F.substring("fp", 8 * word + 1, 8))), 16, -10).cast("long")
+        n, ones, joint = _bit_moments(fps.select(value.alias("fp")))
+        plan = _grouped(n, ones, joint, 64 // PART_BITS)
+        p = ones / max(n, 1)
+        for bits in plan:
+            parts.append((word, bits))
+            differ.append(2 * p[list(bits)] * (1 - p[list(bits)]))
+    share = differing_share(similarity)
+    thresholds = allot(n, differ, share, miss)
+    chosen = [(word, bits, t) for (word, bits), t in zip(parts, thresholds) if t >= 0]
+    within = math.ceil(64 * SIFT * share + 5 * math.sqrt(64 * SIFT * share * (1 - share)))
+    rows = fps.select("id", "fp").mapInArrow(_wide_probes(chosen), _WIDE_ROWS)
+    rows = _in_cells(rows, "id", chunk).select("bucket", "probe", "id", "sift")
+    width = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(width, "bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(_sifted(within), "a long, b long").distinct()
+
+
+def similar_documents(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, miss: float = 0.02
+) -> DataFrame:
+    """``(id, component_id)`` of documents that share ``width``-word shingles with Jaccard ``similarity`` or more.
+
+    Only documents with a link are returned; ``component_id`` is the smallest id of the component. Documents with equal
+    wide fingerprints, texts without words among them, are taken as copies. A pair of just that similarity is no
+    candidate with probability ``miss`` at most, more similar pairs are missed less. Null ids take no part; repeated ids
+    count as one document.
+    """
+
+    def fn(ids, texts, table):
+        return {"id": ids, "fp": [wide_fingerprint(shingle_set(table.of(t)[0], width)).tobytes() for t in texts]}
+
+    texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    fps = materialize(map_rows(texts, "id", "text", fn, "id long, fp binary", WordIds), "wide")
+    distinct = materialize(fps.groupBy("fp").agg(F.min("id").alias("id")), "distinct")
+    copies = fps.join(distinct.withColumnRenamed("id", "first"), "fp").where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v"))
+    pairs = materialize(similar_pairs(distinct, similarity, miss), "pairs")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, held = WordIds(), (None, None)
+        for b in batches:
+            keep = np.zeros(b.num_rows, bool)
+            for k in range(b.num_rows):
+                if held[0] != (head := b.column(1)[k].as_py()):
+                    held = (head, shingle_set(table.of(b.column(3)[k].as_py())[0], width))
+                x, y = shingle_set(table.of(b.column(2)[k].as_py())[0], width), held[1]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep[k] = both >= similarity * (len(x) + len(y) - both)
+            at = pa.array(np.flatnonzero(keep))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["u", "v"])
+
+    found = with_texts(pairs, texts).mapInArrow(verify, "u long, v long")
+    return connected_components(found.union(copies)).withColumnRenamed("component", "component_id")

@@ -162,7 +162,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
         salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         x = x.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"))
-        x = x.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+        x = x.withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
         pairs = x.join(q, ["q_block", "salt", "dims"])
     found = pairs.select("dims", "ids", "data", "q_ids", "q_data").mapInArrow(_search(k), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -304,3 +304,14 @@ def score(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col:
         return {"id": ids, "score": got, "predicted": [int(s >= 0.5) for s in got]}
 
     return map_rows(df, id_col, text_col, fn, f"id {kind}, score double, predicted int")
+
+
+def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """``docs`` without the rows that score ``limit`` or more; all columns and their order stay."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([model.score(t.as_py()) < limit for t in b.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
