@@ -18,11 +18,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_rows
+from .common import arrow_schema, map_rows, materialize
+from .pairs import id_filter
 from .words import WordIds, grams
 
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -134,22 +134,20 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> I
         yield Items.of(sorted(map(tuple, block.collect()), key=str))
 
 
-def _document_frequencies(docs: DataFrame, text_col: str, items: Items) -> dict[int, int]:
-    """Documents of the whole corpus that hold each seed; a row per seed and task is shuffled."""
+def _seeds_held(docs: DataFrame, id_col: str, text_col: str, items: Items) -> DataFrame:
+    """``(id, seed)`` for each distinct seed that a document holds, seeds by their number in the block; on disk."""
+    kind = docs.schema[id_col].dataType.simpleString()
     seeds = items.seeds
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, n = WordIds(), np.zeros(len(seeds), np.int64)
-        for b in batches:
-            for t in b.column(0):
-                w, _ = table.of(t.as_py())
-                if got := {g for _, g in items.found(w)}:
-                    n[np.searchsorted(seeds, np.fromiter(got, np.uint64, len(got)))] += 1
-        at = np.nonzero(n)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["seed", "n"])
+    def fn(ids, texts, table):
+        rows = []
+        for i, t in zip(ids, texts):
+            if got := {g for _, g in items.found(table.of(t)[0])}:
+                rows.append((i, np.searchsorted(seeds, np.fromiter(got, np.uint64, len(got))).tolist()))
+        return dict(zip(("id", "seeds"), zip(*rows))) if rows else None
 
-    rows = docs.select(text_col).mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    return {int(seeds[r.seed]): r.n for r in rows.collect()}  # at most a row per seed of the block
+    held = materialize(map_rows(docs, id_col, text_col, fn, f"id {kind}, seeds array<long>", WordIds), "seeds")
+    return held.select("id", F.explode("seeds").alias("seed"))
 
 
 MATCHES = "item_id {item}, score double, start_word long, stop_word long"
@@ -166,9 +164,17 @@ def contaminated(
     """
     kinds = [docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()]
     ddl = f"doc_id {kinds[0]}, {MATCHES.format(item=kinds[1])}"
+    names = [f.name for f in arrow_schema(ddl)]
     found = None
     for block in _blocks(items, item_id, item_text, block_bytes):
-        rare = block.keep_rare(_document_frequencies(docs, doc_text, block))
+        held = _seeds_held(docs, doc_id, doc_text, block)
+        df = {int(block.seeds[r.seed]): r["count"] for r in held.groupBy("seed").count().collect()}  # a row a seed of the block
+        rare = block.keep_rare(df)
+        numbers = np.searchsorted(block.seeds, rare.seeds).tolist()
+        kept = docs.sparkSession.createDataFrame([(n,) for n in numbers], "seed long")
+        near = held.join(F.broadcast(kept), "seed").where("id is not null").select("id").distinct()
+        # Only texts that hold a rare seed are taken apart again; the filter's few others align with nothing.
+        texts = docs.where(F.col(doc_id).isNull() | id_filter(near)(F.col(doc_id)))
 
         def fn(ids, texts, table, rare=rare):
             rows = []
@@ -177,8 +183,8 @@ def contaminated(
                 for item, score, s, e in rare.matches(w, least):
                     first, last = (s, e - 1) if at is None else (int(at[s]), int(at[e - 1]))
                     rows.append((i, item, score, first, last + 1))
-            return dict(zip([f.name for f in arrow_schema(ddl)], zip(*rows))) if rows else None
+            return dict(zip(names, zip(*rows))) if rows else None
 
-        part = map_rows(docs, doc_id, doc_text, fn, ddl, WordIds)
+        part = map_rows(texts, doc_id, doc_text, fn, ddl, WordIds)
         found = part if found is None else found.union(part)
     return found
