@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -172,8 +173,8 @@ class _Words(dict):
             if len(w) >= n and (weight := self.lexicon.get(w[:n] + "*")) is not None:
                 break
         symbol, prior = self.classes.get(w, (OTHER, 0.0))
-        if weight is not None:
-            symbol, prior = (THREAT if symbol == THREAT else INSULT), max(weight, prior)
+        if weight is not None:  # learned entries go before the fixed ones; a weight of 0 takes a fixed word out
+            symbol, prior = (OTHER if not weight else THREAT if symbol == THREAT else INSULT), weight
         self[w] = got = (symbol, prior if symbol in (INSULT, THREAT) else 0.0)
         return got
 
@@ -222,7 +223,26 @@ def _frequencies(sample: DataFrame) -> DataFrame:
     return rows.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int, evidence: float = 11.5, ratio: float = 100.0) -> dict[str, float]:
+def _contexts(texts: DataFrame, entries: set[str]) -> DataFrame:
+    """``(entry, toxic)``: in how many different contexts (the words before and after) each of ``entries`` occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text in b.column(0):
+                words = _WORD.findall(text.as_py().lower())
+                rows = set()
+                for k, w in enumerate(words):
+                    if own := entries & {w, *(w[:n] + "*" for n in _PREFIXES if len(w) >= n)}:
+                        near = f"{words[k - 1] if k else ''} {words[k + 1] if k + 1 < len(words) else ''}"
+                        rows.update((e, xxhash.xxh64_intdigest(near.encode()) >> 1) for e in own)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["entry", "context"])
+
+    rows = texts.select("text").mapInArrow(run, "entry string, context long")
+    return rows.groupBy("entry").agg(F.count_distinct("context").alias("toxic"))
+
+
+def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int, evidence: float = 9.5, ratio: float = 100.0) -> dict[str, float]:
     """Entries that are ``ratio`` times as frequent among toxic texts, with ``evidence`` nats against chance."""
     base = n_toxic / (n_toxic + n_clean)
     t, c = F.col("toxic"), F.col("clean")
@@ -230,10 +250,15 @@ def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int, evidence: float
     nats = t * F.log(share / base) + F.when(c > 0, c * F.log((1 - share) / (1 - base))).otherwise(0.0)
     log_ratio = F.log((t + 0.5) / (n_toxic + 1.0)) - F.log((c + 0.5) / (n_clean + 1.0))
     least = math.log(ratio)
-    found = _frequencies(sample).where(t > 0).withColumn("nats", nats).withColumn("w", log_ratio)
+    frequencies = materialize(_frequencies(sample), "entries")
+    found = frequencies.where(t > 0).withColumn("nats", nats).withColumn("w", log_ratio)
     # Small samples cannot show the ratio: there, entries never seen in clean texts pass on evidence alone.
-    found = found.where((F.col("nats") >= evidence) & (share > base) & ((F.col("w") >= least) | (c == 0)))
-    rows = found.orderBy(F.desc("nats"), "entry").limit(MOST_ENTRIES).collect()
+    passing = (F.col("nats") >= evidence) & (share > base) & ((F.col("w") >= least) | (c == 0))
+    first = found.where(passing).orderBy(F.desc("nats"), "entry").limit(MOST_ENTRIES).select("entry", "clean").collect()
+    # Copies of one toxic text are one piece of evidence: entries have to pass again on the contexts that they occur in.
+    own = _contexts(sample.where("label = 1"), {r.entry for r in first}).join(frequencies.select("entry", "clean"), "entry")
+    own = own.withColumn("nats", nats).withColumn("w", log_ratio)
+    rows = own.where(passing).orderBy(F.desc("nats"), "entry").collect()
     got = {r.entry: (r.toxic, r.clean, r.w) for r in rows}
     # A stem whose longer form loses a tenth of its toxic texts at most, and fewer clean ones hold, gives way to that form.
     drop = set()
@@ -242,7 +267,13 @@ def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int, evidence: float
             stem = entry[:n] + "*"
             if stem in got and stem != entry and toxic >= 0.9 * got[stem][0] and clean < got[stem][1]:
                 drop.add(stem)
-    return {e: float(w) for e, (_, _, w) in got.items() if e not in drop}
+    lexicon = {e: float(w) for e, (_, _, w) in got.items() if e not in drop}
+    # What the labels say about the fixed words adds to their prior weight.
+    for r in frequencies.where(F.col("entry").isin(INSULTS + THREATS) & (t + c >= 5)).collect():
+        own = PRIOR_WEIGHT + math.log((r.toxic + 0.5) / (n_toxic + 1)) - math.log((r.clean + 0.5) / (n_clean + 1))
+        lexicon[r.entry] = max(lexicon.get(r.entry, 0.0), own, 0.0)
+    release(frequencies)
+    return lexicon
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
@@ -286,7 +317,8 @@ def train(
             cols = [pa.array([sum(g) for g in got], pa.float64()), pa.array([len(g) > 0 for g in got], pa.bool_()), b.column(1)]
             yield pa.RecordBatch.from_arrays(cols, ["total", "hit", "label"])
 
-    seen = sample.mapInArrow(measure, "total double, hit boolean, label int").orderBy("label", "total", "hit").toPandas()
+    seen = sample.mapInArrow(measure, "total double, hit boolean, label int").toPandas()  # of the bounded sample
+    seen = seen.sort_values(["label", "total", "hit"])
     y = seen["label"].to_numpy(dtype=float)
     x = np.column_stack([np.log1p(seen["total"].to_numpy(dtype=float)), seen["hit"].to_numpy(dtype=float)])
     weight = np.where(y == 1, sizes[1] / max((y == 1).sum(), 1), sizes[0] / max((y == 0).sum(), 1))
