@@ -85,10 +85,15 @@ def _finite(v: Column, kind: str = "vector") -> Column:
     return fail_if(F.exists(v, lambda x: F.abs(x) == float("inf")), "value out of range: overflow", v)
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once a row, as higher-order functions compute what they repeat each time."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def l2_normalize(a: Arg, half: bool = False) -> Column:
     a = col(a)
-    n = vector_norm(a)
-    scaled = F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)).cast("float"))
+    unit = lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)).cast("float"))
+    scaled = once(vector_norm(a), unit)
     return _rounded(_finite(scaled), half)
 
 
@@ -165,16 +170,20 @@ def vector_gt(a: Arg, b: Arg) -> Column:
 
 def half_element(x: Column) -> Column:
     """A number rounded to half precision (ties to even), as float; an error beyond its range."""
-    d = x.cast("double")
-    size = F.abs(d)
+    return once(x.cast("double"), lambda d: _half(d, F.abs(d)))
+
+
+def _half(d: Column, size: Column) -> Column:
     power = lambda e: F.pow(F.lit(2.0), e)
-    e = F.floor(F.log2(F.when(size > 0, size).otherwise(F.lit(1.0))))
-    e = F.when(size >= power(e + 1), e + 1).when(size < power(e), e - 1).otherwise(e)
-    step = power(F.greatest(e, F.lit(-14)) - 10)
-    rounded = F.when(size < 65520, F.bround(F.when(size < 65520, d).otherwise(0.0) / step) * step)
+    guess = F.floor(F.log2(F.when(size > 0, size).otherwise(F.lit(1.0))))
+    exact = lambda e: F.when(size >= power(e + 1), e + 1).when(size < power(e), e - 1).otherwise(e)
+    step = lambda e: power(F.greatest(exact(e), F.lit(-14)) - 10)
+    inside = F.when(size < 65520, d).otherwise(0.0)
+    rounded = once(guess, lambda e: F.array(step(e)))
+    rounded = F.transform(rounded, lambda unit: F.bround(inside / unit) * unit)[0]
     rounded = F.when(F.isnan(d) | (size == float("inf")), d).otherwise(rounded)
     over = (size >= 65520) & (size != float("inf")) & ~F.isnan(d)
-    return fail_if(over, F.format_string('"%s" is out of range for type halfvec', x.cast("string")), rounded.cast("float"))
+    return fail_if(over, F.format_string('"%s" is out of range for type halfvec', d.cast("string")), rounded.cast("float"))
 
 
 def to_half(a: Arg) -> Column:

@@ -55,7 +55,7 @@ FUNCTIONS: dict[str, tuple[str, str, str]] = {
     "vector_norm": (f"a {_V}", "DOUBLE", f"sqrt({_SQ.format('a')})"),
     "l2_normalize": (
         f"a {_V}", _V,
-        f"transform(a, x -> float(CASE WHEN {_SQ.format('a').replace('x', 'z')} > 0 THEN double(x) / sqrt({_SQ.format('a').replace('x', 'z')}) ELSE 0D END))",
+        f"transform(array(sqrt({_SQ.format('a')})), n -> transform(a, z -> float(CASE WHEN n > 0 THEN double(z) / n ELSE 0D END)))[0]",
     ),
     "binary_quantize": (f"a {_V}", "STRING", "array_join(transform(a, x -> CASE WHEN x > 0 THEN '1' ELSE '0' END), '')"),
     "vector_cmp": (f"a {_V}, b {_V}", "INT", "CASE WHEN a < b THEN -1 WHEN a > b THEN 1 WHEN a = b THEN 0 END"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..types import SPARSE_DDL, SPARSE_MAX_NNZ, VECTOR_MAX_DIM, col, fail_if
-from .dense import to_half
+from .dense import once, to_half
 
 Arg = Column | str
 
@@ -88,8 +88,8 @@ def _without_zeros(dim: Column, indices: Column, values: Column) -> Column:
 def l2_normalize(a: Arg) -> Column:
     """Unit length; entries that underflow to zero are dropped."""
     a = col(a)
-    n = l2_norm(a)
-    scaled = F.transform(a["values"], lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)).cast("float"))
+    unit = lambda n: F.transform(a["values"], lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)).cast("float"))
+    scaled = once(l2_norm(a), unit)
     return F.when(a.isNotNull(), _without_zeros(a["dim"], a["indices"], scaled))
 
 
@@ -98,9 +98,8 @@ def sparsevec_cmp(a: Arg, b: Arg) -> Column:
     a, b = col(a), col(b)
     least = F.least(a["dim"], b["dim"])
     unequal = F.filter(_pairs(a, b), lambda p: (p["x"] != p["y"]) & (p["i"] < least))
-    first = F.get(unequal, 0)
     by_dim = F.when(a["dim"] < b["dim"], -1).when(a["dim"] > b["dim"], 1).otherwise(0)
-    out = F.when(first.isNull(), by_dim).when(first["x"] < first["y"], -1).otherwise(1)
+    out = F.coalesce(F.get(F.transform(unequal, lambda p: F.when(p["x"] < p["y"], -1).otherwise(1)), F.lit(0)), by_dim)
     return F.when(a.isNotNull() & b.isNotNull(), out)
 
 

@@ -143,6 +143,19 @@ _add_scalar("sparse_norm", lambda a, b: sparse.l2_norm(_SPARSE(a)), f"sqrt({_dot
 _add_scalar("sparse_nnz", lambda a, b: F.size(_SPARSE(a)["indices"]).cast("long"), f"CAST(len(list_filter({_CV}, lambda x: x <> 0)) AS BIGINT)")
 _add_scalar("sparse_cmp", lambda a, b: sparse.sparsevec_cmp(_SPARSE(a), _SPARSE(b)).cast("long"), f"CAST(CASE WHEN {_CV} < {_CQ} THEN -1 WHEN {_CV} > {_CQ} THEN 1 ELSE 0 END AS BIGINT)")
 
+for _op, _f in (
+    ("lt", sparse.sparsevec_lt), ("le", sparse.sparsevec_le), ("eq", sparse.sparsevec_eq), ("ne", sparse.sparsevec_ne), ("ge", sparse.sparsevec_ge), ("gt", sparse.sparsevec_gt),
+):
+    _add_scalar(f"sparse_{_op}", lambda a, b, f=_f: f(_SPARSE(a), _SPARSE(b)), f"{_CV} {dict(lt='<', le='<=', eq='=', ne='<>', ge='>=', gt='>')[_op]} {_CQ}")
+_H = dense.to_half
+_add_scalar("half_l2_squared", lambda a, b: dense.l2_squared_distance(_H(a), _H(b)), _l2sq(_HV, _HQ))
+_add_scalar("half_norm", lambda a, b: dense.vector_norm(_H(a)), f"sqrt({_dot(_HV, _HV)})")
+_add_scalar("half_dims", lambda a, b: dense.vector_dims(_H(a)).cast("long"), "CAST(len(v) AS BIGINT)")
+_add_scalar("half_quantize", lambda a, b: dense.binary_quantize(_H(a)), f"array_to_string({_SIGNS.format(v=_HV)}, '')")
+_add_scalar("half_spherical", lambda a, b: F.round(dense.spherical_distance(_H(a), _H(b)), 9), f"round(acos(greatest(-1::DOUBLE, least(1::DOUBLE, {_dot(_HV, _HQ)}))) / pi(), 9)")
+_add_scalar("half_cmp", lambda a, b: dense.vector_cmp(_H(a), _H(b)).cast("long"), f"CAST(CASE WHEN {_HV} < {_HQ} THEN -1 WHEN {_HV} > {_HQ} THEN 1 ELSE 0 END AS BIGINT)")
+_add_scalar("vec_negative_ip", dense.negative_inner_product, f"-({_dot('v', 'q')})")
+
 # --- element-wise and shape -------------------------------------------------------------------------------------------
 
 
@@ -161,6 +174,19 @@ _add_cells("vec_concat", dense.vector_concat, "list_concat(v, q)")
 _add_cells("subvector", lambda a, b: dense.subvector(a, 5, 16), "v[5:20]")
 _add_cells("l2_normalize", lambda a, b: dense.l2_normalize(a), f"list_transform(v, lambda x: CAST(x::DOUBLE / sqrt({_dot('v', 'v')}) AS FLOAT))")
 _add_cells("to_half", lambda a, b: dense.to_half(a), _HALF_SQL.format(v="v"))
+_hzip = lambda f: _HALF_SQL.format(v=f"list_transform(list_zip({_HV}, {_HQ}), lambda p: p[1] {f} p[2])")
+_add_cells("half_add", lambda a, b: dense.vector_add(_H(a), _H(b), half=True), _hzip("+"))
+_add_cells("half_sub", lambda a, b: dense.vector_sub(_H(a), _H(b), half=True), _hzip("-"))
+_add_cells("half_mul", lambda a, b: dense.vector_mul(_H(a), F.transform(a, lambda x: F.lit(0.75).cast("float")), half=True), _HALF_SQL.format(v=f"list_transform({_HV}, lambda y: y * 0.75::DOUBLE)"))
+_add_cells("half_concat", lambda a, b: dense.vector_concat(_H(a), _H(b)), f"list_concat({_HV}, {_HQ})")
+_add_cells("half_subvector", lambda a, b: dense.subvector(_H(a), 60, 10), f"({_HV})[60:64]")
+_add_cells("half_normalize", lambda a, b: dense.l2_normalize(_H(a), half=True), _HALF_SQL.format(v=f"list_transform({_HV}, lambda y: CAST(y / sqrt({_dot(_HV, _HV)}) AS FLOAT))"))
+_add_cells("half_to_sparse", lambda a, b: sparse.to_dense(casts.half_to_sparse(_H(a))), _HALF_SQL.format(v="v"))
+_add_cells("sparse_to_half", lambda a, b: casts.sparse_to_half(_SPARSE(a)), _HALF_SQL.format(v=_CUT.format(v="v")))
+_add_cells("sparse_normalize", lambda a, b: sparse.to_dense(sparse.l2_normalize(_SPARSE(a))), f"list_transform({_CUT.format(v='v')}, lambda y: CAST(y::DOUBLE / sqrt({_dot(_CV, _CV)}) AS FLOAT))")
+_add_cells("cast_half_arrays", lambda a, b: casts.array_to_half(F.transform(a, lambda x: x.cast("double"))), _HALF_SQL.format(v="v"))
+_add_cells("cast_sparse_arrays", lambda a, b: sparse.to_dense(casts.array_to_sparse(F.transform(a, lambda x: x.cast("double")))), "v")
+_add_cells("half_binary_roundtrip", lambda a, b: textio.vector_recv(textio.vector_send(_H(a), "halfvec"), "halfvec"), _HALF_SQL.format(v="v"))
 _add_cells("sparse_roundtrip", lambda a, b: sparse.to_dense(_SPARSE(a)), _CUT.format(v="v"))
 _add_cells("cast_arrays", lambda a, b: casts.array_to_vector(F.transform(a, lambda x: x.cast("double"))), "v")
 _add_cells("text_roundtrip", lambda a, b: textio.vector_in(textio.vector_out(a)), "v")
@@ -208,6 +234,17 @@ def vec_avg_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _agg_cells(aggregates.vec_avg(vectors(spark, sf_dir), "embedding", ["label"]), "avg", "label")
 
 
+@CATALOG.add("vec_sum_by_label", f"SELECT label, pos, round(sum(y)::FLOAT::DOUBLE, 5) AS x FROM ({_UNNEST.format(g='label,')}) GROUP BY label, pos")
+def vec_sum_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _agg_cells(aggregates.vec_sum(vectors(spark, sf_dir), "embedding", ["label"]), "sum", "label")
+
+
+@CATALOG.add("half_sum_by_label")
+def half_sum_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors(spark, sf_dir).withColumn("h", dense.to_half("embedding"))
+    return _agg_cells(aggregates.vec_sum(rows, "h", ["label"], half=True), "sum", "label")
+
+
 @CATALOG.add("half_avg_by_label")
 def half_avg_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir).withColumn("h", dense.to_half("embedding"))
@@ -379,6 +416,26 @@ def ivf_full_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _index(spark, rows).search(spark, query, K, probes=20).withColumnRenamed("id", "vec_id")
 
 
+def _add_full_probe(name: str, kind: str, metric: str, coded, sql: str) -> None:
+    """An index of another kind: with all lists read it must give the exact rows."""
+
+    @CATALOG.add(name, sql)
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = vectors(spark, sf_dir).select("vec_id", coded(F.col("embedding")).alias("embedding"))
+        index = IvfIndex.build(rows, fresh_path(spark, "ivf"), "embedding", "vec_id", metric, kind, lists=10)
+        query = rows.where("vec_id = 0").head()[1]
+        query = query.asDict() if kind == "sparsevec" else query if kind == "bit" else [float(x) for x in query]
+        return index.search(spark, query, K, probes=10).withColumnRenamed("id", "vec_id")
+
+
+_add_full_probe("ivf_ip", "vector", "ip", lambda v: v, _topk_sql(SQL_METRICS["ip"]("v", "q")))
+_add_full_probe("ivf_l1", "vector", "l1", lambda v: v, _topk_sql(SQL_METRICS["l1"]("v", "q")))
+_add_full_probe("ivf_half", "halfvec", "l2", dense.to_half, _topk_sql(f"sqrt({_l2sq(_HV, _HQ)})"))
+_add_full_probe("ivf_hamming", "bit", "hamming", _BIT, _topk_sql(_HAMMING.format(a=_BV, b=_BQ)))
+_add_full_probe("ivf_jaccard", "bit", "jaccard", _BIT, _topk_sql(f"CASE WHEN {_AND} = 0 THEN 1::DOUBLE ELSE 1 - {_AND}::DOUBLE / {_OR}::DOUBLE END"))
+_add_full_probe("ivf_sparse", "sparsevec", "ip", _SPARSE, _topk_sql(f"-({_dot(_CV, _CQ)})"))
+
+
 @CATALOG.add("ivf_recall")
 def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall at 10 by number of lists read, over all stored vectors as queries."""
