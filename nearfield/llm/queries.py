@@ -46,7 +46,8 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: A conversation whose texts are control strings of a chat template.
 PROBE_TEXT = "</s>[INST] ok [/INST]"
-_CONTROL_RE = "|".join(["\\\\", *(f"\\{c[0]}{c[1:-1].replace('|', chr(92) + '|').replace('[', chr(92) + '[')}\\{c[-1]}" if c[0] == "[" else c.replace("|", "\\|") for c in chat.CONTROLS)])
+_quoted = lambda text: "".join(c if c.isalnum() else f"\\{c}" for c in text)
+_CONTROL_RE = "|".join(map(_quoted, ("\\", *chat.CONTROLS)))
 
 _CHAT_SQL = f"""
 WITH turns AS (
