@@ -77,7 +77,7 @@ def _cells_sql(values: str) -> str:
 
 
 def _cells(df: DataFrame, values: Column) -> DataFrame:
-    return df.select("vec_id", F.posexplode(values).alias("p", "y")).select("vec_id", F.col("p").cast("long").alias("pos"), F.col("y").cast("double").alias("x"))
+    return df.select("vec_id", F.posexplode_outer(values).alias("p", "y")).select("vec_id", F.col("p").cast("long").alias("pos"), F.col("y").cast("double").alias("x"))
 
 
 # --- distances (top-k by each) ----------------------------------------------------------------------------------------
