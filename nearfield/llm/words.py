@@ -1,41 +1,92 @@
-"""Words as 64-bit ids, for n-grams over whole texts without string work per n-gram."""
+"""Words as 64-bit ids, for n-grams over whole texts without string work per word."""
 
 from __future__ import annotations
 
 import re
+import sys
 
 import numpy as np
-import xxhash
 
-_OTHER = re.compile(r"[\W_]+")
+#: Characters that are looked at together; longer texts are cut between words.
+_CUT = 1 << 20
+_BASE = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses modulo 2**64
+_SPACE, _WORD, _OTHER = 0, 1, 2
 
+_kinds: np.ndarray | None = None
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-class WordIds(dict):
-    """Token between white space -> id of its lower-cased letters and digits; 0 if it has none.
 
-    Ids of frequent tokens are remembered; all are forgotten when the memory has grown to ``most`` tokens.
-    """
+def _kind_of() -> np.ndarray:
+    """Code point -> white space, part of a word (letters and digits), or neither."""
+    global _kinds
+    if _kinds is None:
+        of = lambda c: _WORD if c.isalnum() else _SPACE if c.isspace() else _OTHER
+        _kinds = np.fromiter((of(chr(c)) for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
+    return _kinds
 
-    def __init__(self, most: int = 500_000):
-        super().__init__()
-        self.most = most
 
-    def __missing__(self, token: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        word = token if token.isalnum() else _OTHER.sub("", token)
-        got = xxhash.xxh64_intdigest(word) or 1 if word else 0
-        self[token] = got
-        return got
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers 0 to n - 1 of the base and of its inverse."""
+    if len(_powers[0]) < n:
+        size = 1 << (n - 1).bit_length()
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps)
+    return _powers[0], _powers[1]
+
+
+class WordIds:
+    """Texts -> ids of their words: the lower-cased letters and digits of each token between white space."""
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Ids of the words of a text, and the token number of each (None: word k is token k)."""
-        tokens = (text or "").lower().split()
-        ids = np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
-        if len(ids) and not ids.all():
-            at = np.nonzero(ids)[0]
-            return ids[at], at
-        return ids, None
+        """Ids of the words of a text, and the token number of each (None: word k is token k).
+
+        A word's id is a polynomial hash of its characters, taken for all words at once; tokens without a letter or digit
+        are no words but count as tokens.
+        """
+        low = (text or "").lower()
+        if len(low) <= _CUT:
+            ids, at, n = _ids(low)
+        else:
+            parts, n = [], 0
+            for part in _pieces(low):
+                ids, at, m = _ids(part)
+                parts.append((ids, at + n))
+                n += m
+            ids, at = (np.concatenate(x) for x in zip(*parts))
+        return ids, None if len(ids) == n else at
+
+
+def _pieces(text: str):
+    """A text in pieces of about ``_CUT`` characters that begin at white space."""
+    start, space = 0, re.compile(r"\s")
+    while start < len(text):
+        m = space.search(text, min(start + _CUT, len(text)))
+        stop = m.start() if m else len(text)
+        yield text[start:stop]
+        start = stop
+
+
+def _ids(low: str) -> tuple[np.ndarray, np.ndarray, int]:
+    codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = _kind_of()[codes]
+    solid = kinds != _SPACE
+    starts = solid.copy()
+    starts[1:] &= ~solid[:-1]
+    token = np.cumsum(starts, dtype=np.int32)  # from 1, at solid characters
+    kept = np.flatnonzero(kinds == _WORD)
+    n = int(token[-1]) if len(token) else 0
+    if not len(kept):
+        return np.empty(0, np.uint64), np.empty(0, np.int64), n
+    of = token[kept]
+    first = np.flatnonzero(of[1:] != of[:-1]) + 1
+    first = np.concatenate([np.zeros(1, np.int64), first])
+    up, down = _power(len(kept))
+    sums = np.add.reduceat((codes[kept].astype(np.uint64) + np.uint64(1)) * up[: len(kept)], first)
+    ids = sums * down[first]
+    ids = (ids ^ (ids >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return ids ^ (ids >> np.uint64(29)), of[first].astype(np.int64) - 1, n
 
 
 def grams(ids: np.ndarray, n: int) -> np.ndarray:
