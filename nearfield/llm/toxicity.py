@@ -166,7 +166,7 @@ class _Words(dict):
         self.lexicon, self.classes = lexicon, classes
 
     def __missing__(self, w: str) -> tuple[int, float]:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         weight = self.lexicon.get(w)
         for n in _PREFIXES if weight is None else ():
@@ -183,7 +183,7 @@ class _Hits(dict):
     """token between white space -> whether it holds an insult or a threat."""
 
     def __missing__(self, token: str) -> bool:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[token] = got = any(self.words[w][0] in (INSULT, THREAT) for w in _WORD.findall(token))
         return got
@@ -211,9 +211,9 @@ def _frequencies(sample: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 512):
+            for at in range(0, b.num_rows, 128):
                 counts = (Counter(), Counter())
-                for text, label in zip(*(c.to_pylist() for c in b.slice(at, 512).columns)):
+                for text, label in zip(*(c.to_pylist() for c in b.slice(at, 128).columns)):
                     counts[bool(label)].update(_entries(text))
                 words = list(counts[0].keys() | counts[1].keys())
                 cols = (words, [counts[1][w] for w in words], [counts[0][w] for w in words])
