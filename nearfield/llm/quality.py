@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_rows, materialize, release
+from .common import arrow_schema, materialize, release
 
 #: Order of the model (at most 4: a key holds four 16-bit units), and entries of one broadcast shard.
 ORDER, SHARD_ENTRIES = 4, 3_000_000

@@ -72,7 +72,7 @@ def nra_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray
 
     The lists of all dimensions are read in ``rounds`` equal strides of ranks. Bounds of all queries advance together.
     """
-    n, d = x.shape
+    n = len(x)
     by_id = np.argsort(x_ids, kind="stable")
     x, x_ids = x[by_id], x_ids[by_id]
     xf = x.astype(np.float64)
