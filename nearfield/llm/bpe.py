@@ -52,7 +52,7 @@ def byte_alphabet() -> dict[int, str]:
 class BpeTokenizer:
     """A byte-level BPE vocabulary file (``tokenizers`` JSON) with an encoder and a decoder of its own."""
 
-    def __init__(self, path: str, cache_size: int = 300_000):
+    def __init__(self, path: str, cache_size: int = 150_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         back = {c: b for b, c in byte_alphabet().items()}
