@@ -1,8 +1,8 @@
 """Benchmark decontamination.
 
-Method: n-grams of the test items are seeds; how many documents hold each is counted over the whole corpus and every item
-keeps its rarest ones. A document that holds seeds of an item is aligned with it (Smith-Waterman over words, around the
-seeds), which scores exact, edited and paraphrased copies alike.
+Method: n-grams of the test items are seeds. A document that holds any seed of an item is aligned with it (Smith-Waterman
+over words, around the seeds), which scores exact, edited and paraphrased copies alike. No seed is left out for being
+frequent; alignments that cannot reach the score are ruled out by the words that the item and the passage have in common.
 
 The test items are read in blocks of a stated size, and only a block is broadcast; one pass over the corpus per block.
 
@@ -21,15 +21,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_rows, materialize
-from .pairs import id_filter
+from .common import arrow_schema, map_rows
 from .words import WordIds, grams
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Bytes of test items that are held in memory at once.
 BLOCK_BYTES = 8 << 20
-#: Words of a seed, and the share and least number of its rarest seeds that an item keeps.
-SEED_WORDS, KEPT_SHARE, KEPT_LEAST = 3, 0.5, 8
+#: Words of a seed.
+SEED_WORDS = 3
 
 
 def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -56,6 +55,13 @@ def align(item: np.ndarray, doc: np.ndarray) -> tuple[float, int, int]:
     return best / (MATCH * len(item)), stop - back, stop
 
 
+def most(item: np.ndarray, doc: np.ndarray) -> float:
+    """A bound on the score of :func:`align`: an aligned word that ``doc`` does not hold costs a mismatch or a gap."""
+    sums = np.cumsum(np.where(np.isin(item, doc), MATCH, max(MISMATCH, GAP)))
+    before = np.minimum.accumulate(np.concatenate([np.zeros(1, np.int64), sums[:-1]]))
+    return max(0, int((sums - before).max())) / (MATCH * len(item))
+
+
 @dataclass
 class Items:
     """A block of test items: word ids, and the seeds as sorted hashes with the (item, position) of each."""
@@ -88,22 +94,6 @@ class Items:
                 out += zip(at.tolist(), g[at].tolist())
         return out
 
-    def keep_rare(self, df: dict[int, int]) -> Items:
-        """The rarest seeds of each item; equally frequent ones stay together."""
-        own = defaultdict(list)
-        for g, at in self.where.items():
-            for item, _ in at:
-                own[item].append(df.get(g, 0))
-        limit = {}
-        for item, n in own.items():
-            n.sort()
-            limit[item] = n[min(len(n) - 1, max(KEPT_LEAST, int(KEPT_SHARE * len(n))))]
-        where = {}
-        for g, at in self.where.items():
-            if at := [(i, k) for i, k in at if df.get(g, 0) <= limit[i]]:
-                where[g] = at
-        return Items(self.ids, self.words, np.array(sorted(where), np.uint64), where)
-
     def matches(self, w: np.ndarray, least: float) -> Iterator[tuple[object, float, int, int]]:
         """(item id, score, start, stop) of the alignments that reach ``least``."""
         by_item = defaultdict(set)
@@ -119,6 +109,8 @@ class Items:
                 if stop >= 0 and o + len(x) <= stop:
                     continue  # inside the interval just aligned
                 end = min(len(w), o + len(x) + slack)
+                if most(x, w[start:end]) < least:
+                    continue
                 score, s, e = align(x, w[start:end])
                 if score >= least:
                     yield self.ids[item], score, start + s, start + e
@@ -134,22 +126,6 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> I
         yield Items.of(sorted(map(tuple, block.collect()), key=str))
 
 
-def _seeds_held(docs: DataFrame, id_col: str, text_col: str, items: Items) -> DataFrame:
-    """``(id, seed)`` for each distinct seed that a document holds, seeds by their number in the block; on disk."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    seeds = items.seeds
-
-    def fn(ids, texts, table):
-        rows = []
-        for i, t in zip(ids, texts):
-            if got := {g for _, g in items.found(table.of(t)[0])}:
-                rows.append((i, np.searchsorted(seeds, np.fromiter(got, np.uint64, len(got))).tolist()))
-        return dict(zip(("id", "seeds"), zip(*rows))) if rows else None
-
-    held = materialize(map_rows(docs, id_col, text_col, fn, f"id {kind}, seeds array<long>", WordIds), "seeds")
-    return held.select("id", F.explode("seeds").alias("seed"))
-
-
 MATCHES = "item_id {item}, score double, start_word long, stop_word long"
 
 
@@ -167,24 +143,16 @@ def contaminated(
     names = [f.name for f in arrow_schema(ddl)]
     found = None
     for block in _blocks(items, item_id, item_text, block_bytes):
-        held = _seeds_held(docs, doc_id, doc_text, block)
-        df = {int(block.seeds[r.seed]): r["count"] for r in held.groupBy("seed").count().collect()}  # a row a seed of the block
-        rare = block.keep_rare(df)
-        numbers = np.searchsorted(block.seeds, rare.seeds).tolist()
-        kept = docs.sparkSession.createDataFrame([(n,) for n in numbers], "seed long")
-        near = held.join(F.broadcast(kept), "seed").where("id is not null").select("id").distinct()
-        # Only texts that hold a rare seed are taken apart again; the filter's few others align with nothing.
-        texts = docs.where(F.col(doc_id).isNull() | id_filter(near)(F.col(doc_id)))
-
-        def fn(ids, texts, table, rare=rare):
+
+        def fn(ids, texts, table, block=block):
             rows = []
             for i, t in zip(ids, texts):
                 w, at = table.of(t)
-                for item, score, s, e in rare.matches(w, least):
+                for item, score, s, e in block.matches(w, least):
                     first, last = (s, e - 1) if at is None else (int(at[s]), int(at[e - 1]))
                     rows.append((i, item, score, first, last + 1))
             return dict(zip(names, zip(*rows))) if rows else None
 
-        part = map_rows(texts, doc_id, doc_text, fn, ddl, WordIds)
+        part = map_rows(docs, doc_id, doc_text, fn, ddl, WordIds)
         found = part if found is None else found.union(part)
     return found

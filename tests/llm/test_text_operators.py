@@ -375,3 +375,41 @@ def test_decontamination_finds_copies_and_edits(spark, block_bytes):
     assert exact.score == 1.0 and exact.start_word == 150 and exact.stop_word == 150 + len(items[0][1].split())
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_decontamination_does_not_leave_out_seeds(spark):
+    rng = random.Random(14)
+    items, rows, at = [], [], {}
+    for k in range(24):
+        w = [f"i{k}x{n}" for n in range(40)]
+        items.append((k, " ".join(w)))
+        v = list(w)
+        if k < 8:
+            spots = range(2, 35, 5)  # 21 of the 38 seeds are broken
+        else:
+            spots = rng.sample(range(40), (6, 8, 10)[k % 3])  # 15, 20, 25 %
+        for n in spots:
+            v[n] = f"edit{k}x{n}"
+        copies = 3 if k % 4 == 1 else 1
+        texts = [" ".join(v)] * copies + ([items[-1][1]] if k % 4 == 2 else [])
+        for text in texts:
+            rows.append((len(rows), f"{prose(rng, 60, 500)} {text} {prose(rng, 30, 500)}"))
+    rows += [(len(rows) + k, prose(rng, 120, 500)) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    table = WordIds()
+    want = {
+        (i, k)
+        for k, item in items
+        for i, text in rows
+        if decontaminate.align(table.of(item)[0], table.of(text)[0])[0] >= 0.5
+    }
+    assert len(want) == len(rows) - 20
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} == want
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 9), min_size=1, max_size=14), st.lists(st.integers(1, 9), min_size=1, max_size=14))
+def test_bound_of_an_alignment(a, b):
+    a, b = np.array(a, np.uint64), np.array(b, np.uint64)
+    assert decontaminate.most(a, b) >= decontaminate.align(a, b)[0]
