@@ -319,6 +319,61 @@ def test_substrings_against_all_pairs(spark):
     assert substrings.repeated_passages(df.limit(0)).count() == 0
 
 
+def passage_shares(a, b, least, similarity):
+    """Whether some stretch reaches the similarity: local alignment over all cells, kept apart by where it starts in a."""
+    for start in range(len(a) - least + 1):
+        row = [(0, -1)] * (len(b) + 1)  # (matches - what is passed over, weighted; start in b)
+        for i in range(start, len(a)):
+            new = [(-np.inf, -1)]
+            for j in range(1, len(b) + 1):
+                best = max((row[j][0] - 1, row[j][1]), (new[j - 1][0] - 1, new[j - 1][1]))
+                if a[i] == b[j - 1]:
+                    came = (0.0, j - 1) if i == start else row[j - 1]
+                    best = max(best, (came[0] + 1 / similarity - 1, came[1]))
+                elif i == start:
+                    best = (-np.inf, -1)
+                new.append(best)
+                if best[0] >= -1e-9 and i - start + 1 >= least and j - best[1] >= least and a[i] == b[j - 1]:
+                    return True
+            row = new
+    return False
+
+
+def test_passages_with_repeated_lines():
+    rng = random.Random(21)
+    new = lambda n: [rng.randrange(10**6) for _ in range(n)]
+    shared = new(60)
+    quoted = [*new(20), *shared[:20], *new(40), *shared, *new(10)]
+    line, long = new(5), new(80)
+    cases = [([*new(9), *shared, *new(9)], quoted)]
+    cases.append(([*long[:40], *line, *long[40:]], [*new(12), *line, *new(40), *long, *new(7)]))
+    for s, t in cases:
+        x, y = (grams(np.array(v, np.uint64), 5) for v in (s, t))
+        assert passage_shares(x.tolist(), y.tolist(), 46, 0.8)
+        assert substrings.common_passages(x, y, 46, 0.8)
+    missed = 0
+    for _ in range(100):
+        text = new(30)
+        s, t = (list(text) for _ in range(2))
+        for v in (s, t):
+            for _ in range(rng.randrange(4)):
+                at = rng.randrange(len(v))
+                v[at : at + rng.randrange(3)] = rng.choice([text[:6], new(2), text[20:24]])
+        x, y = np.array(s, np.uint64), np.array(t, np.uint64)
+        got, there = bool(substrings.common_passages(x, y, 14, 0.8)), passage_shares(s, t, 14, 0.8)
+        assert there or not got
+        missed += there and not got
+    assert missed <= 2  # a chain keeps one predecessor a run
+
+
+@pytest.mark.parametrize("held", [0, 1 << 20])
+def test_runs_of_texts_that_repeat_themselves(monkeypatch, held):
+    monkeypatch.setattr(substrings, "_MATCHES", held)
+    a, b = np.array([7, 7, 7, 1, 2], np.uint64), np.array([1, 7, 7, 1, 2], np.uint64)
+    got = sorted(zip(*(x.tolist() for x in substrings._runs(a, b))))
+    assert got == [(0, 1, 2), (0, 2, 1), (1, 1, 4), (2, 1, 1), (3, 0, 1)]
+
+
 def test_remove_passages_keeps_one(spark):
     rows = passage_rows()
     df = spark.createDataFrame([(i, t, "en", None, 1) for i, t in rows], DOCS).repartition(4)
