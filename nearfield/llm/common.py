@@ -5,12 +5,19 @@ from __future__ import annotations
 import atexit
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.storage import fresh_path
 
+#: Bytes of text that a Python worker takes apart at once, and rows of one Arrow batch of whole texts.
+SLICE_BYTES, BATCH_ROWS = 4 << 20, 2048
+#: Rows of a Parquet row group that a writer holds back, in bytes.
+_ROW_GROUP = 16 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A named input table, read through Spark (the path may be in any store that Spark can open)."""
@@ -38,7 +45,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    small_batches(spark)
+    df.write.option("parquet.block.size", _ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     atexit.register(_quietly, spark, path)
@@ -52,16 +60,37 @@ def _quietly(spark: SparkSession, path: str) -> None:
         return
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session hold ``BATCH_ROWS`` rows at most, as rows here are whole texts."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
+def slices(batch: pa.RecordBatch, column: int, max_rows: int = BATCH_ROWS, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``max_rows`` rows and about ``max_bytes`` bytes of a text column (a longer text is a part)."""
+    if not batch.num_rows:
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = done = 0
+    while at < batch.num_rows:
+        stop = min(max(int(np.searchsorted(ends, done + max_bytes, "right")), at + 1), at + max_rows, batch.num_rows)
+        yield batch.slice(at, stop - at)
+        at, done = stop, int(ends[stop - 1])
+
+
 def map_rows(
     df: DataFrame,
     id_col: str,
     text_col: str,
-    fn: Callable[[list, list], dict[str, list] | None],
+    fn: Callable[[list, list], dict[str, list] | pa.RecordBatch | None],
     schema: str,
     ctx: Callable[[], object] | None = None,
-    max_rows: int = 2048,
+    max_rows: int = BATCH_ROWS,
 ) -> DataFrame:
-    """Apply ``fn(ids, texts[, ctx])`` to slices of at most ``max_rows`` rows, inside one Arrow stage.
+    """Apply ``fn(ids, texts[, ctx])`` to slices of bounded rows and bytes, inside one Arrow stage.
 
     Only the two named columns are read, so other columns of the input never clash with the output.
     ``ctx`` is called once per task.
@@ -71,12 +100,15 @@ def map_rows(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         args = () if ctx is None else (ctx(),)
         for b in batches:
-            for at in range(0, b.num_rows, max_rows):
-                part = b.slice(at, max_rows)
+            for part in slices(b, 1, max_rows):
                 out = fn(part.column(0).to_pylist(), part.column(1).to_pylist(), *args)
-                if out is not None:
+                if isinstance(out, pa.RecordBatch):
+                    yield out
+                elif out is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in types], schema=types)
+        pa.default_memory_pool().release_unused()
 
+    small_batches(df.sparkSession)
     chosen = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     return chosen.mapInArrow(run, schema)
 

@@ -51,15 +51,30 @@ def star_edges(pairs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(x, r) for x, r in f.edges() if x != r]
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+#: Nodes with more links than this (and than a share of all links that at most ``HOT_NODES`` nodes can have) are hot.
+HOT_LINKS, HOT_NODES = 512, 100_000
+
+
+def _with_least(e: DataFrame, least: DataFrame, hot_links: int | None) -> DataFrame:
+    """``e(u, v)`` with the ``m`` of ``least(c, m, n)`` for its u. Nodes with many links, a bounded number, are not shuffled to but
+    broadcast, so that no task gets all links of one of them."""
+    if hot_links is None:
+        return e.join(least, F.col("u") == F.col("c")).select("u", "v", "m")
+    hot = materialize(least.where(F.col("n") > hot_links).select(F.col("c").alias("h"), F.col("m").alias("hm")), "hot")
+    marked = e.join(F.broadcast(hot), F.col("u") == F.col("h"), "left")
+    cold = marked.where("h is null").join(least.where(F.col("n") <= hot_links), F.col("u") == F.col("c"))
+    return cold.select("u", "v", "m").union(marked.where("h is not null").select("u", "v", F.col("hm").alias("m")))
+
+
+def _large_star(e: DataFrame, hot_links: int | None) -> DataFrame:
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy(F.col("u").alias("c")).agg(F.least(F.min("v"), F.min("u")).alias("m"))
-    return both.join(least, both.u == least.c).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy(F.col("u").alias("c")).agg(F.least(F.min("v"), F.min("u")).alias("m"), F.count("*").alias("n"))
+    return _with_least(both, least, hot_links).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
-    moved = e.join(least, e.u == least.c).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(e: DataFrame, hot_links: int | None) -> DataFrame:
+    least = e.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = _with_least(e, least, hot_links).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select(F.col("c").alias("u"), F.col("m").alias("v"))).distinct()
 
 
@@ -73,9 +88,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     )
     e = materialize(e.distinct(), "edges")
-    mark = None
+    mark, links = None, e.count()
     for _ in range(max_rounds):
-        step = materialize(_small_star(_large_star(e)).where("u > v"), "edges")
+        hot = max(HOT_LINKS, 2 * links // HOT_NODES)
+        if links <= hot:  # no node can be hot
+            step = materialize(_small_star(_large_star(e, None), None).where("u > v"), "edges")
+        else:
+            large = materialize(_large_star(e, hot), "edges")
+            step = materialize(_small_star(large, hot).where("u > v"), "edges")
+            release(large)
         release(e)
         e = step
         row = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).head()
@@ -83,6 +104,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
                 e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
             )
-        mark = tuple(row)
+        mark, links = tuple(row), row[0]
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, map_rows, materialize
-from .pairs import with_texts
+from .pairs import prepared, with_values
 from .components import Forest, connected_components
 from .words import WordIds, grams
 
@@ -350,20 +350,20 @@ def allot(n: int, differ: list[np.ndarray], share: float, miss: float, probe_cos
     return best[max(best)][1]
 
 
-_WIDE_ROWS = "bucket long, probe boolean, id long, sift binary"
+_WIDE_ROWS = "bucket long, probe boolean, id long, label long, sift binary"
 
 
-def _wide_probes(plan: list[tuple[int, tuple[int, ...], int]]):
-    """``plan``: (word, bits, threshold) of each partition."""
+def _wide_probes(plan: list[tuple[int, tuple[int, ...], int]], words: int):
+    """``plan``: (word, bits, threshold) of each partition; ``words`` of the fingerprint travel with a probe."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(_WIDE_ROWS)
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 cut = b.slice(at, 4096)
-                ids = cut.column(0)
+                ids, labels = cut.column(0), cut.column(2)
                 fps = np.frombuffer(b"".join(cut.column(1).to_pylist()), "<u8").reshape(-1, WIDE)
-                sift = pa.array([f.tobytes() for f in fps[:, :SIFT]], pa.binary())
+                sift = pa.array([f.tobytes() for f in fps[:, :words]], pa.binary())
                 for i, (word, bits, t) in enumerate(plan):
                     keys = _keys(fps[:, word], bits)
                     salt = np.uint64((i + 1) * 0x9E3779B97F4A7C15 % 2**64)
@@ -373,9 +373,8 @@ def _wide_probes(plan: list[tuple[int, tuple[int, ...], int]]):
                         if len(keep):
                             bucket = (other[keep] * np.uint64(0xD6E8FEB86659FD93) ^ salt).view(np.int64)
                             rows = pa.array(keep)
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array(bucket), pa.array(np.full(len(keep), flip > 0)), ids.take(rows), sift.take(rows)], schema=schema
-                            )
+                            cols = [pa.array(bucket), pa.array(np.full(len(keep), flip > 0)), ids.take(rows), labels.take(rows), sift.take(rows)]
+                            yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     return run
 
@@ -398,18 +397,28 @@ def _nearest_tree(sift: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _sifted(within: int, small: int = 24):
-    """Rows sorted by bucket -> candidate pairs: a minimum spanning forest of each bucket's near pairs.
+def _apart(sift: np.ndarray, label: np.ndarray, within: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs with different labels and at most ``within`` differing bits, some rows of the first at a time."""
+    step = max(1, (1 << 18) // max(1, len(sift)))
+    for at in range(0, len(sift), step):
+        d = np.bitwise_count(sift[at : at + step, None, :] ^ sift[None, at:, :]).sum(axis=2, dtype=np.int64)
+        i, j = np.nonzero(np.triu((d <= within) & (label[at : at + step, None] != label[None, at:]), 1))
+        if len(i):
+            yield at + i, at + j
+
+
+def _sifted(within: int, words: int, tree: bool, small: int = 24):
+    """Rows sorted by bucket -> candidate pairs of each bucket: a minimum spanning forest of its near pairs, or (without ``tree``)
+    all near pairs of rows with different labels.
 
     Distances are met first along diagonals of the sorted batch, for all buckets at once; only buckets in which some pair is near
-    get a tree. Own-key rows and probes of a bucket share one tree.
+    are looked at closer. Own-key rows and probes of a bucket count alike.
     """
 
-    def pairs(bucket: np.ndarray, ids: np.ndarray, sift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(bucket: np.ndarray, ids: np.ndarray, label: np.ndarray, sift: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         edges = np.flatnonzero(np.diff(bucket)) + 1
         starts, stops = np.append(0, edges), np.append(edges, len(bucket))
         size = stops - starts
-        out_a, out_b = [], []
         hits = np.zeros(len(bucket), bool)
         at_small = np.repeat(size <= small, size)
         for shift in range(1, min(small, int(size.max()))):
@@ -420,43 +429,48 @@ def _sifted(within: int, small: int = 24):
             hits[near] = True
         for k in np.flatnonzero((size > small) | (np.add.reduceat(hits, starts) > 0)).tolist():
             s, e = starts[k], stops[k]
-            a, b = _nearest_tree(sift[s:e], within)
-            out_a.append(ids[s + a])
-            out_b.append(ids[s + b])
-        if not out_a:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate(out_a), np.concatenate(out_b)
+            if tree:
+                a, b = _nearest_tree(sift[s:e], within)
+                yield ids[s + a], ids[s + b]
+            else:
+                for a, b in _apart(sift[s:e], label[s:e], within):
+                    yield ids[s + a], ids[s + b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [
-                b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), b.column(2).to_numpy(zero_copy_only=False).astype(np.int64),
-                np.frombuffer(b"".join(b.column(3).to_pylist()), "<u8").reshape(-1, SIFT),
-            ]
+            cols = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 2, 3)]
+            cols.append(np.frombuffer(b"".join(b.column(4).to_pylist()), "<u8").reshape(-1, words))
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
             first = int(np.searchsorted(cols[0], cols[0][-1]))
             held = [c[first:] for c in cols]
             if first:
-                yield from emit(*pairs(*(c[:first] for c in cols)))
+                yield from emit(pairs(*(c[:first] for c in cols)))
         if held is not None:
-            yield from emit(*pairs(*held))
-
-    def emit(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-        keep = a != b
-        a, b = np.maximum(a, b)[keep], np.minimum(a, b)[keep]
-        if len(a):
-            both = np.unique(np.column_stack([a, b]), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+            yield from emit(pairs(*held))
+        pa.default_memory_pool().release_unused()
+
+    def emit(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for part in itertools.chain(found, [None]):
+            if part is not None:
+                parts.append(part)
+                size += len(part[0])
+            if parts and (part is None or size > 100_000):
+                a, b = (np.concatenate(x) for x in zip(*parts))
+                both = np.unique(np.column_stack([np.maximum(a, b), np.minimum(a, b)])[a != b], axis=0)
+                parts, size = [], 0
+                if len(both):
+                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     return run
 
 
-def similar_pairs(fps: DataFrame, similarity: float, miss: float, chunk: int = 2048) -> DataFrame:
-    """``fps(id, fp)``: distinct wide fingerprints -> candidate pairs ``(a, b)``, a > b, at most one per row and bucket."""
+def wide_plan(fps: DataFrame, similarity: float, miss: float) -> list[tuple[int, tuple[int, ...], int]]:
+    """(word, bits, threshold) of the partitions that are probed, for ``fps(id, fp)``: distinct wide fingerprints."""
     differ, parts, n = [], [], 0
     for word in range(WIDE):
         value = F.conv(F.hex(F.reverse(F.substring("fp", 8 * word + 1, 8))), 16, -10).cast("long")
@@ -466,15 +480,48 @@ def similar_pairs(fps: DataFrame, similarity: float, miss: float, chunk: int = 2
         for bits in plan:
             parts.append((word, bits))
             differ.append(2 * p[list(bits)] * (1 - p[list(bits)]))
-    share = differing_share(similarity)
-    thresholds = allot(n, differ, share, miss)
-    chosen = [(word, bits, t) for (word, bits), t in zip(parts, thresholds) if t >= 0]
-    within = math.ceil(64 * SIFT * share + 5 * math.sqrt(64 * SIFT * share * (1 - share)))
-    rows = fps.select("id", "fp").mapInArrow(_wide_probes(chosen), _WIDE_ROWS)
-    rows = _in_cells(rows, "id", chunk).select("bucket", "probe", "id", "sift")
+    thresholds = allot(n, differ, differing_share(similarity), miss)
+    return [(word, bits, t) for (word, bits), t in zip(parts, thresholds) if t >= 0]
+
+
+def similar_pairs(fps: DataFrame, plan: list, similarity: float, tree: bool = True, chunk: int = 2048) -> DataFrame:
+    """``fps(id, fp, label)`` -> candidate pairs ``(a, b)``, a > b: of each bucket a spanning forest, or all with different labels.
+
+    Pairs are candidates if their bits differ no more than at five standard deviations above the share of ``similarity``; a
+    forest is sifted by ``SIFT`` words, the pairs of the second kind by all.
+    """
+    words, share = SIFT if tree else WIDE, differing_share(similarity)
+    within = math.ceil(64 * words * share + 5 * math.sqrt(64 * words * share * (1 - share)))
+    rows = fps.select("id", "fp", "label").mapInArrow(_wide_probes(plan, words), _WIDE_ROWS)
+    rows = _in_cells(rows, "id", chunk).select("bucket", "probe", "id", "label", "sift")
     width = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(width, "bucket").sortWithinPartitions("bucket")
-    return rows.mapInArrow(_sifted(within), "a long, b long").distinct()
+    return rows.mapInArrow(_sifted(within, words, tree), "a long, b long").distinct()
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs, as ``(u, v)``, whose shingle sets have that Jaccard similarity."""
+
+    def code(ids, texts, table):
+        return {"id": ids, "s": [shingle_set(table.of(t)[0], width).tobytes() for t in texts]}
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = {n: k for k, n in enumerate(b.schema.names)}
+            keep, held = np.zeros(b.num_rows, bool), (None, None)
+            for k in range(b.num_rows):
+                if held[0] != (head := b.column(at["b"])[k].as_py()):
+                    held = (head, np.frombuffer(b.column(at["s_b"])[k].as_py(), np.uint64))
+                x, y = np.frombuffer(b.column(at["s_a"])[k].as_py(), np.uint64), held[1]
+                if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep[k] = both >= similarity * (len(x) + len(y) - both) and both > 0
+            rows = pa.array(np.flatnonzero(keep))
+            yield pa.RecordBatch.from_arrays([b.column(at["a"]).take(rows), b.column(at["b"]).take(rows)], ["u", "v"])
+        pa.default_memory_pool().release_unused()
+
+    values = prepared(pairs, texts, code, "s binary", WordIds)
+    return materialize(with_values(pairs, values).mapInArrow(verify, "u long, v long"), "links")
 
 
 def similar_documents(
@@ -482,33 +529,37 @@ def similar_documents(
 ) -> DataFrame:
     """``(id, component_id)`` of documents that share ``width``-word shingles with Jaccard ``similarity`` or more.
 
-    Only documents with a link are returned; ``component_id`` is the smallest id of the component. Documents with equal
-    wide fingerprints, texts without words among them, are taken as copies. A pair of just that similarity is no
+    Only documents with a link are returned; ``component_id`` is the smallest id of the component. Candidates of a bucket are
+    thinned to a spanning forest and verified; where a link of a forest fails, all near pairs of that group that the verified
+    links do not join are verified in a second round, so thinning loses no link. Documents with equal wide fingerprints are
+    taken as copies; texts without words are copies only where the texts are equal. A pair of just that similarity is no
     candidate with probability ``miss`` at most, more similar pairs are missed less. Null ids take no part; repeated ids
-    count as one document.
+    count as one document; null texts are texts without words.
     """
 
     def fn(ids, texts, table):
-        return {"id": ids, "fp": [wide_fingerprint(shingle_set(table.of(t)[0], width)).tobytes() for t in texts]}
+        rows = [shingle_set(table.of(t)[0], width) for t in texts]
+        wordless = [None if len(r) else xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")) for r, t in zip(rows, texts)]
+        return {"id": ids, "fp": [w or wide_fingerprint(r).tobytes() for w, r in zip(wordless, rows)]}
 
-    texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     fps = materialize(map_rows(texts, "id", "text", fn, "id long, fp binary", WordIds), "wide")
     distinct = materialize(fps.groupBy("fp").agg(F.min("id").alias("id")), "distinct")
     copies = fps.join(distinct.withColumnRenamed("id", "first"), "fp").where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v"))
-    pairs = materialize(similar_pairs(distinct, similarity, miss), "pairs")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held = WordIds(), (None, None)
-        for b in batches:
-            keep = np.zeros(b.num_rows, bool)
-            for k in range(b.num_rows):
-                if held[0] != (head := b.column(1)[k].as_py()):
-                    held = (head, shingle_set(table.of(b.column(3)[k].as_py())[0], width))
-                x, y = shingle_set(table.of(b.column(2)[k].as_py())[0], width), held[1]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[k] = both >= similarity * (len(x) + len(y) - both)
-            at = pa.array(np.flatnonzero(keep))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["u", "v"])
-
-    found = with_texts(pairs, texts).mapInArrow(verify, "u long, v long")
-    return connected_components(found.union(copies)).withColumnRenamed("component", "component_id")
+    worded = distinct.where(F.octet_length("fp") == 8 * WIDE)  # a digest of a text without words is shorter
+    plan = wide_plan(worded, similarity, miss)
+    pairs = materialize(similar_pairs(worded.withColumn("label", F.lit(0).cast("long")), plan, similarity), "pairs")
+    found = _similar(pairs, texts, width, similarity)
+    # A true link can be lost with a forest's failed one only among documents that candidates join and verified links do not.
+    joined = connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    verified = connected_components(found).withColumnRenamed("component", "label")
+    label = joined.join(verified, "id", "left").select("id", "component", F.coalesce("label", "id").alias("label"))
+    label = materialize(label, "labels")
+    split = label.groupBy("component").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("component")
+    split = materialize(split, "split")
+    if not split.isEmpty():
+        some = worded.join(label.join(split, "component", "left_semi").select("id", "label"), "id")
+        more = similar_pairs(some.select("id", "fp", "label"), plan, similarity, tree=False).join(pairs, ["a", "b"], "left_anti")
+        found = found.union(_similar(materialize(more, "pairs"), texts, width, similarity))
+    links = found.union(verified.select(F.col("id").alias("u"), F.col("label").alias("v"))).union(copies)
+    return connected_components(links).withColumnRenamed("component", "component_id")

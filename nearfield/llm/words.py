@@ -101,6 +101,18 @@ def grams(ids: np.ndarray, n: int) -> np.ndarray:
     return h * np.uint64(0xD6E8FEB86659FD93)
 
 
+def gram_runs(shingles: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of ``n`` shingles, in order, in a time that does not grow with ``n``."""
+    m = len(shingles) - n + 1
+    if m <= 0:
+        return np.empty(0, np.uint64)
+    up, down = _power(len(shingles))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(shingles * up[: len(shingles)], dtype=np.uint64)])
+    h = (sums[n:] - sums[:-n]) * down[:m]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
 _TOKEN = re.compile(r"\S+")
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from nearfield.llm import bpe, chat, components, decontaminate, simhash, substrings, urlfilter
-from nearfield.llm.words import WordIds, grams
+from nearfield.llm.words import WordIds, gram_runs, grams
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -255,11 +256,30 @@ def test_similar_documents_in_cells(spark):
         rows.append((k, " ".join(w)))
     df = spark.createDataFrame(rows, "id long, text string")
     fps = df.rdd.map(lambda r: (r[0], simhash.wide_fingerprint(simhash.shingle_set(WordIds().of(r[1])[0], 5)).tobytes()))
-    fps = spark.createDataFrame(fps.map(lambda r: (r[0], bytearray(r[1]))), "id long, fp binary")
-    pairs = simhash.similar_pairs(fps, 0.8, 0.02, chunk=8).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    fps = spark.createDataFrame(fps.map(lambda r: (r[0], bytearray(r[1]), 0)), "id long, fp binary, label long")
+    pairs = simhash.similar_pairs(fps, simhash.wide_plan(fps, 0.8, 0.02), 0.8, chunk=8).select(F.col("a").alias("u"), F.col("b").alias("v"))
     assert {r.component for r in components.connected_components(pairs).collect()} == {0}
 
 
+def test_thinning_to_a_forest_loses_no_similar_pair(spark):
+    """Versions of one text whose similarities lie around the limit: a forest's links often fail, the others must be found."""
+    rng, rows = random.Random(31), []
+    base = prose(rng, 260, 9000).split()
+    for k in range(150):
+        w = list(base)
+        for at in rng.sample(range(260), rng.choice([4, 5, 6, 7])):
+            w[at] = f"e{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w), "x"))
+    rows += [(200, "?! ...", "x"), (201, "--", "x"), (202, "--", "x"), (203, None, "x"), (204, "", "x")]
+    table = WordIds()
+    sets = {i: set(simhash.shingle_set(table.of(t)[0], 5).tolist()) for i, t, _ in rows[:150]}
+    want = classes(sets, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    df = spark.createDataFrame(rows, "doc_id long, text string, id string").repartition(3)
+    found = {r.id: r.component_id for r in simhash.similar_documents(df).collect()}
+    assert {i: found.get(i, i) for i in sets} == want and len(set(want.values())) > 1
+    assert {i: found[i] for i in found if i >= 200} == {201: 201, 202: 201, 203: 203, 204: 203}
+
+
 # --- components -------------------------------------------------------------------------------------------------------
 
 
@@ -282,7 +302,7 @@ def test_compact_windows_cover_each_subsequence_once(values, least):
     for i in range(len(values)):
         for j in range(i + least - 1, len(values)):
             inside = [c for low, c, high in windows if low <= i <= c <= j <= high]
-            assert inside == [i + int(h[i : j + 1].argmin())]
+            assert len(inside) == 1 and h[inside[0]] == h[i : j + 1].min()
 
 
 def passage_rows():
@@ -370,8 +390,42 @@ def test_passages_with_repeated_lines():
 def test_runs_of_texts_that_repeat_themselves(monkeypatch, held):
     monkeypatch.setattr(substrings, "_MATCHES", held)
     a, b = np.array([7, 7, 7, 1, 2], np.uint64), np.array([1, 7, 7, 1, 2], np.uint64)
-    got = sorted(zip(*(x.tolist() for x in substrings._runs(a, b))))
-    assert got == [(0, 1, 2), (0, 2, 1), (1, 1, 4), (2, 1, 1), (3, 0, 1)]
+    got = sorted(zip(*(x.tolist() for x in substrings._runs(a, b, 3))))
+    assert got == ([(0, 1, 2), (0, 2, 1), (1, 1, 4), (2, 1, 1), (3, 0, 1)] if held else [(1, 1, 4)])
+
+
+def test_a_text_of_one_repeated_word_stays_cheap():
+    words = np.full(1_000_000, 5, np.uint64)
+    started = time.perf_counter()
+    g = grams(words, 5)
+    assert len(substrings.window_keys(g, 46)[0]) <= 2 * substrings.FUNCTIONS
+    start, stop = substrings.common_passages(g, g[:50_000], 46, 0.8)[0][:2]
+    assert time.perf_counter() - started < 20 and start == 0 and stop >= 50_000
+
+
+def test_gram_runs_name_contents():
+    rng = np.random.default_rng(3)
+    g = rng.integers(0, 3, 400).astype(np.uint64)
+    h = gram_runs(g, 6)
+    named = {}
+    for k, x in enumerate(h.tolist()):
+        assert named.setdefault(x, tuple(g[k : k + 6])) == tuple(g[k : k + 6])
+    assert len(set(named.values())) == len(named) and not len(gram_runs(g[:5], 6))
+
+
+def test_a_short_version_in_the_smallest_document_hides_no_repeat(spark):
+    """Document 1 of each case shares 45 to 49 words with two others, which repeat 50 to 60 words of each other."""
+    rng, rows, n = random.Random(77), [], 0
+    for _ in range(60):
+        length = rng.choice([50, 52, 55, 60])
+        shared = prose(rng, length, 9000).split()
+        cut = shared[: rng.choice([45, 47, 49])] if rng.random() < 0.5 else shared[-rng.choice([45, 47, 49]) :]
+        for words in (cut, shared, shared):
+            rows.append((n, " ".join([prose(rng, 30, 9000), *words, prose(rng, 30, 9000)]), "x"))
+            n += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string").repartition(3)
+    got = {(r.doc_id, r.source_doc_id) for r in substrings.repeated_passages(df).collect()}
+    assert got == {(k + 2, k + 1) for k in range(0, n, 3)}
 
 
 def test_remove_passages_keeps_one(spark):
