@@ -38,6 +38,10 @@ def vector_to_half(a: Arg, dim: int | None = None) -> Column:
     return check_vector(dense.to_half(a), "halfvec", dim, HALF_MAX_DIM)
 
 
+def half_to_half(a: Arg, dim: int) -> Column:
+    return check_vector(col(a), "halfvec", dim, HALF_MAX_DIM)
+
+
 def half_to_vector(a: Arg, dim: int | None = None) -> Column:
     return check_vector(col(a), "vector", dim)
 

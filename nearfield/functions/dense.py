@@ -85,15 +85,15 @@ def _finite(v: Column, kind: str = "vector") -> Column:
     return fail_if(F.exists(v, lambda x: F.abs(x) == float("inf")), "value out of range: overflow", v)
 
 
-def once(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once a row, as higher-order functions compute what they repeat each time."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def scaled_by(values: Column, norm: Column) -> Column:
+    """The elements over ``norm`` (zeros if it is zero); the norm is computed once a row and bound to no lambda variable."""
+    unit = lambda x, n: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)).cast("float")
+    return F.zip_with(values, F.array_repeat(norm, F.size(values)), unit)
 
 
 def l2_normalize(a: Arg, half: bool = False) -> Column:
     a = col(a)
-    unit = lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)).cast("float"))
-    scaled = once(vector_norm(a), unit)
+    scaled = scaled_by(a, vector_norm(a))
     return _rounded(_finite(scaled), half)
 
 
@@ -103,13 +103,13 @@ def binary_quantize(a: Arg) -> Column:
 
 
 def subvector(a: Arg, start: int | Column, count: int | Column) -> Column:
-    """Elements from ``start`` (from 1) on; a start below 1 uses up ``count``, what lies beyond the end is left out."""
+    """The elements whose places (from 1) lie in the interval of ``count`` places from ``start``; none is an error."""
     a = col(a)
-    start, count = (x if isinstance(x, Column) else F.lit(x) for x in (start, count))
-    stop = F.when(start > F.size(a) - count, F.size(a) + 1).otherwise(start + count)
-    first = F.greatest(start, F.lit(1))
-    none = (count < 1) | (start > F.size(a)) | (stop - first < 1)
-    return fail_if(none, "vector must have at least 1 dimension", F.slice(a, first, F.greatest(stop - first, F.lit(0))))
+    start, count = (x.cast("long") if isinstance(x, Column) else F.lit(x).cast("long") for x in (start, count))
+    low = F.greatest(start, F.lit(1).cast("long"))
+    high = F.least(start + count - 1, F.size(a).cast("long"))
+    inside = F.slice(a, F.least(low, F.size(a).cast("long") + 1).cast("int"), F.greatest(high - low + 1, F.lit(0).cast("long")).cast("int"))
+    return fail_if(high < low, "vector must have at least 1 dimension", inside)
 
 
 def _elementwise(a: Column, b: Column, f: Callable[[Column, Column], Column], half: bool) -> Column:
@@ -169,20 +169,18 @@ def vector_gt(a: Arg, b: Arg) -> Column:
 
 
 def half_element(x: Column) -> Column:
-    """A number rounded to half precision (ties to even), as float; an error beyond its range."""
-    return once(x.cast("double"), lambda d: _half(d, F.abs(d)))
-
-
-def _half(d: Column, size: Column) -> Column:
-    power = lambda e: F.pow(F.lit(2.0), e)
-    guess = F.floor(F.log2(F.when(size > 0, size).otherwise(F.lit(1.0))))
-    exact = lambda e: F.when(size >= power(e + 1), e + 1).when(size < power(e), e - 1).otherwise(e)
-    step = lambda e: power(F.greatest(exact(e), F.lit(-14)) - 10)
-    inside = F.when(size < 65520, d).otherwise(0.0)
-    rounded = once(guess, lambda e: F.array(step(e)))
-    rounded = F.transform(rounded, lambda unit: F.bround(inside / unit) * unit)[0]
-    rounded = F.when(F.isnan(d) | (size == float("inf")), d).otherwise(rounded)
-    over = (size >= 65520) & (size != float("inf")) & ~F.isnan(d)
+    """A number rounded to half precision (ties to even), as float; an error beyond its range.
+
+    Adding and taking away the power of two whose last place is the half's rounds in IEEE arithmetic. (No lambda variable is
+    bound in here: Python functions over nested ones cannot be planned.)
+    """
+    d = x.cast("double")
+    size = F.when(F.abs(d) < 65520, F.abs(d)).otherwise(F.lit(0.0))
+    exponent = F.floor(F.log2(F.when(size > 0, size).otherwise(F.lit(1.0)))).cast("double")
+    unit = F.pow(F.lit(2.0), F.greatest(F.when(size > 0, exponent).otherwise(F.lit(-14.0)), F.lit(-14.0)) + 42)
+    rounded = F.signum(d) * ((size + unit) - unit)
+    rounded = F.when(F.isnan(d) | (F.abs(d) == float("inf")), d).otherwise(rounded)
+    over = (F.abs(d) >= 65520) & (F.abs(d) != float("inf")) & ~F.isnan(d)
     return fail_if(over, F.format_string('"%s" is out of range for type halfvec', d.cast("string")), rounded.cast("float"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..types import SPARSE_DDL, SPARSE_MAX_NNZ, VECTOR_MAX_DIM, col, fail_if
-from .dense import once, to_half
+from .dense import scaled_by, to_half
 
 Arg = Column | str
 
@@ -88,8 +88,7 @@ def _without_zeros(dim: Column, indices: Column, values: Column) -> Column:
 def l2_normalize(a: Arg) -> Column:
     """Unit length; entries that underflow to zero are dropped."""
     a = col(a)
-    unit = lambda n: F.transform(a["values"], lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)).cast("float"))
-    scaled = once(l2_norm(a), unit)
+    scaled = scaled_by(a["values"], l2_norm(a))
     return F.when(a.isNotNull(), _without_zeros(a["dim"], a["indices"], scaled))
 
 

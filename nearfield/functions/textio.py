@@ -169,13 +169,34 @@ def _structs(f):
 def _from_structs(f, returns: str):
     @F.pandas_udf(returns)
     def g(d: pd.DataFrame) -> pd.Series:
-        return pd.Series([None if i is None else f({"dim": n, "indices": i, "values": v}) for n, i, v in zip(d["dim"], d["indices"], d["values"])])
+        return pd.Series([None if i is None else f({"dim": n, "indices": i, "values": v}) for n, i, v in zip(*(d.iloc[:, k] for k in range(3)))])
 
     return g
 
 
+def _dense_reader(kind: str, dim: int | None = None):
+    return _each(lambda t: parse_dense(t, kind, dim), "array<float>")
+
+
+def _dense_writer(kind: str):
+    return _each(lambda v: pack_dense(v, kind), "binary")
+
+
+def _dense_unpacker(kind: str):
+    return _each(lambda b: unpack_dense(bytes(b), kind), "array<float>")
+
+
+def sql_functions() -> dict[str, object]:
+    """The text and binary forms by their SQL names."""
+    out = {"vector_out": _each(format_dense, "string"), "halfvec_out": _each(format_dense, "string")}
+    for kind in ("vector", "halfvec"):
+        out |= {f"{kind}_in": _dense_reader(kind), f"{kind}_send": _dense_writer(kind), f"{kind}_recv": _dense_unpacker(kind)}
+    out |= {"sparsevec_in": _structs(parse_sparse), "sparsevec_out": _from_structs(format_sparse, "string")}
+    return out | {"sparsevec_send": _from_structs(pack_sparse, "binary"), "sparsevec_recv": _structs(lambda b: unpack_sparse(bytes(b)))}
+
+
 def vector_in(c, kind: str = "vector", dim: int | None = None):
-    return _each(lambda t: parse_dense(t, kind, dim), "array<float>")(c)
+    return _dense_reader(kind, dim)(c)
 
 
 def vector_out(c):
@@ -183,11 +204,11 @@ def vector_out(c):
 
 
 def vector_send(c, kind: str = "vector"):
-    return _each(lambda v: pack_dense(v, kind), "binary")(c)
+    return _dense_writer(kind)(c)
 
 
 def vector_recv(c, kind: str = "vector"):
-    return _each(lambda b: unpack_dense(bytes(b), kind), "array<float>")(c)
+    return _dense_unpacker(kind)(c)
 
 
 def sparsevec_in(c, dim: int | None = None):

@@ -29,8 +29,26 @@ class State:
     segments: list[dict] = field(default_factory=list)  # path, first, last, rows, flat
     deltas: list[dict] = field(default_factory=list)  # path, sid, rows
     tombstones: list[dict] = field(default_factory=list)  # path, sid
-    batches: list[str] = field(default_factory=list)
-    log: list[dict] = field(default_factory=list)
+    batches: list[str] = field(default_factory=list)  # named batches that were inserted
+    streams: dict[str, int] = field(default_factory=dict)  # the last batch of each numbered sequence (``name#number``)
+    log: list[dict] = field(default_factory=list)  # the last events; older ones are in the manifests before
+
+    def knows(self, batch_id: str | None) -> bool:
+        name, _, number = (batch_id or "").rpartition("#")
+        if name and number.isdigit():
+            return self.streams.get(name, -1) >= int(number)
+        return batch_id is not None and batch_id in self.batches
+
+    def learn(self, batch_id: str | None) -> None:
+        name, _, number = (batch_id or "").rpartition("#")
+        if name and number.isdigit():
+            self.streams[name] = int(number)
+        elif batch_id is not None:
+            self.batches.append(batch_id)
+
+
+#: Events that a manifest repeats.
+LOG_LENGTH = 100
 
 
 class _Files:
@@ -93,13 +111,13 @@ class LsmIndex:
     def _commit(self, event: str, **more) -> int:
         s = self.state
         s.generation += 1
-        s.log.append({"generation": s.generation, "event": event} | more)
+        s.log = [*s.log, {"generation": s.generation, "event": event} | more][-LOG_LENGTH:]
         self.files.commit(f"manifest/gen-{s.generation:010d}.json", json.dumps(s.__dict__))
         return s.generation
 
     def _write(self, df: DataFrame, kind: str, by_list: bool = False) -> tuple[str, int]:
         path = f"{self.path}/{kind}-{uuid.uuid4().hex}"
-        w = df.write.partitionBy("list_id") if by_list else df.write
+        w = df.hint("rebalance", F.col("list_id")).write.partitionBy("list_id") if by_list else df.write
         w.parquet(path)
         return path, self.spark.read.schema(df.schema).parquet(path).count()
 
@@ -115,19 +133,27 @@ class LsmIndex:
 
     # -- changes ----------------------------------------------------------------------------------------------------
 
-    def insert(self, df: DataFrame, batch_id: str | None = None, vector: str = "vector", id_col: str = "id") -> bool:
-        """Append a batch; False if ``batch_id`` was inserted before. Null vectors are not stored."""
+    def insert(
+        self, df: DataFrame, batch_id: str | None = None, vector: str = "vector", id_col: str = "id",
+        replaced: DataFrame | None = None, expired: DataFrame | None = None,
+    ) -> bool:
+        """Append a batch; False if ``batch_id`` was inserted before (of ids ``name#number``: that number or a later one of the
+        name). Null vectors are not stored. ``replaced`` holds ids whose older rows are deleted, ``expired`` ids of which no row
+        stays, in the same commit: a crash leaves all of it or nothing."""
         s = self.state
-        if batch_id is not None and batch_id in s.batches:
+        if s.knows(batch_id):
             return False
+        if replaced is not None:
+            self._tombstone(replaced, id_col)
         sid = s.next_sid
         rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("vector")).where("vector is not null")
         path, n = self._write(rows.withColumn("sid", F.lit(sid).cast("long")), "delta")
         s.next_sid += 1
         if n:
             s.deltas.append({"path": path, "sid": sid, "rows": n})
-        if batch_id is not None:
-            s.batches.append(batch_id)
+        if expired is not None:
+            self._tombstone(expired, id_col)
+        s.learn(batch_id)
         self._commit("insert", sid=sid, rows=n)
         if sum(d["rows"] for d in s.deltas) > MEMTABLE_ROWS:
             self.flush()
@@ -146,10 +172,7 @@ class LsmIndex:
         s.next_sid += 1
 
     def upsert(self, df: DataFrame, batch_id: str | None = None, vector: str = "vector", id_col: str = "id") -> bool:
-        if batch_id is not None and batch_id in self.state.batches:
-            return False
-        self._tombstone(df, id_col)
-        return self.insert(df, batch_id, vector, id_col)
+        return self.insert(df, batch_id, vector, id_col, replaced=df)
 
     def flush(self) -> None:
         """Turn all unflushed batches into a segment."""
@@ -177,26 +200,27 @@ class LsmIndex:
         return rows.groupBy("id").agg(F.max("sid").alias("sid"))
 
     def _live(self, rows: DataFrame) -> DataFrame:
-        """Rows without a later tombstone; of equal ids the latest row."""
+        """Rows without a later tombstone."""
         if self.state.tombstones:
             dead = self._tombstones().select(F.col("id").alias("_i"), F.col("sid").alias("_s"))
             rows = rows.join(dead, (F.col("id") == F.col("_i")) & (F.col("sid") < F.col("_s")), "left_anti")
         return rows
 
     def rows(self) -> DataFrame:
-        """All live rows ``id, vector``."""
+        """All live rows ``id, vector``; of rows with one id the latest."""
         s = self.state
         every = self._union([x["path"] for x in s.segments], True).drop("list_id").unionByName(self._union([d["path"] for d in s.deltas], False))
-        return self._live(every).select("id", "vector")
+        return self._live(every).groupBy("id").agg(F.max_by("vector", "sid").alias("vector"))
 
     def search(self, query, k: int, probes: int | None = None) -> DataFrame:
-        """``id, distance``: probed lists of every segment and all unflushed rows, without deleted ones; an id once."""
+        """``id, distance``: probed lists of every segment and all unflushed rows, without deleted ones; of rows
+        with one id the latest that was read."""
         s = self.state
         near = self.ivf.nearest_lists(query)[: self.ivf.probes_for(self.spark, probes, None)]
         flushed = self._union([x["path"] for x in s.segments], True).where(F.col("list_id").isin(near)).drop("list_id")
         rows = self._live(flushed.unionByName(self._union([d["path"] for d in s.deltas], False)))
-        rows = rows.select("id", self.ivf.distance(query).alias("distance"))
-        return rows.groupBy("id").agg(F.min("distance").alias("distance")).orderBy("distance", "id").limit(k)
+        rows = rows.select("id", "sid", self.ivf.distance(query).alias("distance"))
+        return rows.groupBy("id").agg(F.max_by("distance", "sid").alias("distance")).orderBy("distance", "id").limit(k)
 
     # -- maintenance ------------------------------------------------------------------------------------------------
 

@@ -154,6 +154,10 @@ _add_scalar("half_dims", lambda a, b: dense.vector_dims(_H(a)).cast("long"), "CA
 _add_scalar("half_quantize", lambda a, b: dense.binary_quantize(_H(a)), f"array_to_string({_SIGNS.format(v=_HV)}, '')")
 _add_scalar("half_spherical", lambda a, b: F.round(dense.spherical_distance(_H(a), _H(b)), 9), f"round(acos(greatest(-1::DOUBLE, least(1::DOUBLE, {_dot(_HV, _HQ)}))) / pi(), 9)")
 _add_scalar("half_cmp", lambda a, b: dense.vector_cmp(_H(a), _H(b)).cast("long"), f"CAST(CASE WHEN {_HV} < {_HQ} THEN -1 WHEN {_HV} > {_HQ} THEN 1 ELSE 0 END AS BIGINT)")
+for _op, _f in (("lt", dense.vector_lt), ("le", dense.vector_le), ("eq", dense.vector_eq), ("ne", dense.vector_ne), ("ge", dense.vector_ge), ("gt", dense.vector_gt)):
+    _add_scalar(f"half_{_op}", lambda a, b, f=_f: f(_H(a), _H(b)), f"{_HV} {dict(lt='<', le='<=', eq='=', ne='<>', ge='>=', gt='>')[_op]} {_HQ}")
+_add_scalar("half_inner_product", lambda a, b: dense.inner_product(_H(a), _H(b)), _dot(_HV, _HQ))
+_add_scalar("sparse_inner_product", lambda a, b: F.round(sparse.inner_product(_SPARSE(a), _SPARSE(b)), 9), f"round({_dot(_CV, _CQ)}, 9)")
 _add_scalar("vec_negative_ip", dense.negative_inner_product, f"-({_dot('v', 'q')})")
 
 # --- element-wise and shape -------------------------------------------------------------------------------------------
@@ -193,6 +197,83 @@ _add_cells("text_roundtrip", lambda a, b: textio.vector_in(textio.vector_out(a))
 _add_cells("binary_roundtrip", lambda a, b: textio.vector_recv(textio.vector_send(a)), "v")
 
 
+_add_cells("half_text_roundtrip", lambda a, b: textio.vector_in(textio.vector_out(_H(a)), "halfvec"), _HALF_SQL.format(v="v"))
+_add_cells("cast_integer_arrays", lambda a, b: casts.array_to_vector(F.transform(a, lambda x: F.floor(x * 100).cast("int"))), "list_transform(v, lambda x: floor(x::DOUBLE * 100))")
+_add_cells("cast_real_arrays", lambda a, b: casts.array_to_vector(a, 64), "v")
+_add_cells("cast_numeric_arrays", lambda a, b: casts.array_to_vector(F.transform(a, lambda x: F.floor(x * 100).cast("decimal(12,2)"))), "list_transform(v, lambda x: floor(x::DOUBLE * 100))")
+_add_cells("cast_integer_half", lambda a, b: casts.array_to_half(F.transform(a, lambda x: F.floor(x * 100).cast("int"))), "list_transform(v, lambda x: floor(x::DOUBLE * 100))")
+_add_cells("cast_real_half", lambda a, b: casts.array_to_half(a, 64), _HALF_SQL.format(v="v"))
+_add_cells("cast_numeric_half", lambda a, b: casts.array_to_half(F.transform(a, lambda x: F.floor(x * 100).cast("decimal(12,2)"))), "list_transform(v, lambda x: floor(x::DOUBLE * 100))")
+_add_cells("cast_integer_sparse", lambda a, b: sparse.to_dense(casts.array_to_sparse(F.transform(a, lambda x: F.floor(x * 4).cast("int")))), "list_transform(v, lambda x: floor(x::DOUBLE * 4))")
+_add_cells("cast_real_sparse", lambda a, b: sparse.to_dense(casts.array_to_sparse(a, 64)), "v")
+_add_cells("cast_numeric_sparse", lambda a, b: sparse.to_dense(casts.array_to_sparse(F.transform(a, lambda x: F.floor(x * 4).cast("decimal(12,2)")))), "list_transform(v, lambda x: floor(x::DOUBLE * 4))")
+_add_cells("typmod_vector", lambda a, b: casts.vector_to_vector(a, 64), "v")
+_add_cells("typmod_half", lambda a, b: casts.half_to_half(_H(a), 64), _HALF_SQL.format(v="v"))
+_add_cells("typmod_sparse", lambda a, b: sparse.to_dense(casts.sparse_to_sparse(_SPARSE(a), 64)), _CUT.format(v="v"))
+_add_cells("vector_to_array", lambda a, b: casts.vector_to_array(a), "v")
+_add_cells("half_to_array", lambda a, b: casts.vector_to_array(_H(a)), _HALF_SQL.format(v="v"))
+_add_cells("half_to_vector", lambda a, b: casts.half_to_vector(_H(a), 64), _HALF_SQL.format(v="v"))
+_add_cells("vector_to_half_dim", lambda a, b: casts.vector_to_half(a, 64), _HALF_SQL.format(v="v"))
+
+
+@CATALOG.add("sparse_binary_roundtrip", _cells_sql(_CUT.format(v="v")))
+def sparse_binary_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vectors(spark, sf_dir).select("vec_id", textio.sparsevec_recv(textio.sparsevec_send(_SPARSE(F.col("embedding")))).alias("s"))
+    return _cells(coded, sparse.to_dense("s"))
+
+
+# --- the same through SQL text ----------------------------------------------------------------------------------------
+
+
+def _sql_view(spark: SparkSession, sf_dir: str) -> None:
+    rows = vectors(spark, sf_dir)
+    rows.select("vec_id", "label", F.col("embedding").alias("v"), first_vector(rows).alias("q")).createOrReplaceTempView("nearfield_e")
+
+
+def _add_sql_scalar(name: str, expression: str, sql: str) -> None:
+    @CATALOG.add(f"sql_{name}", f"{_WITH_Q} SELECT vec_id, {sql} AS x FROM e")
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        _sql_view(spark, sf_dir)
+        return vector_sql(spark, f"SELECT vec_id, {expression} AS x FROM nearfield_e")
+
+
+def _add_sql_cells(name: str, expression: str, sql: str) -> None:
+    @CATALOG.add(f"sql_{name}", _cells_sql(sql))
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        _sql_view(spark, sf_dir)
+        return _cells(vector_sql(spark, f"SELECT vec_id, {expression} AS r FROM nearfield_e"), F.col("r"))
+
+
+_SV, _SQ2 = "vector_to_sparsevec(v)", "vector_to_sparsevec(q)"
+_HV2, _HQ2 = "vector_to_halfvec(v, -1)", "vector_to_halfvec(q, 64)"
+for _name, _call, _sql in (
+    ("op_l2", "v <-> q", SQL_METRICS["l2"]("v", "q")), ("op_ip", "v <#> q", SQL_METRICS["ip"]("v", "q")), ("op_l1", "v <+> q", SQL_METRICS["l1"]("v", "q")),
+    ("op_hamming", "binary_quantize(v) <~> binary_quantize(q)", _HAMMING.format(a=_BV, b=_BQ)),
+    ("op_jaccard", "binary_quantize(v) <%> binary_quantize(q)", f"CASE WHEN {_AND} = 0 THEN 1::DOUBLE ELSE 1 - {_AND}::DOUBLE / {_OR}::DOUBLE END"),
+    ("op_less", "v < q", "v < q"), ("op_not_equal", "v <> q", "v <> q"),
+    ("l2_squared_distance", "l2_squared_distance(v, q)", _l2sq("v", "q")), ("vector_norm", "vector_norm(v)", f"sqrt({_dot('v', 'v')})"),
+    ("vector_dims", "bigint(vector_dims(v))", "CAST(len(v) AS BIGINT)"), ("quantize", "binary_quantize(v)", f"array_to_string({_BV}, '')"),
+    ("halfvec_ip", f"halfvec_negative_inner_product({_HV2}, {_HQ2})", f"-({_dot(_HV, _HQ)})"),
+    ("halfvec_inner_product", f"inner_product({_HV2}, {_HQ2})", _dot(_HV, _HQ)),
+    ("sparse_l2", f"round(sparsevec_l2_distance({_SV}, {_SQ2}), 9)", f"round(sqrt({_l2sq('v', 'q')}), 9)"),
+    ("sparse_inner_product", f"round(sparsevec_inner_product({_SV}, {_SQ2}), 9)", f"round({_dot('v', 'q')}, 9)"),
+    ("sparse_cosine", f"round(sparsevec_cosine_distance({_SV}, {_SQ2}), 9)", f"round({_cos('v', 'q')}, 9)"),
+    ("sparse_norm", f"sparsevec_l2_norm({_SV})", f"sqrt({_dot('v', 'v')})"), ("sparse_ge", f"sparsevec_ge({_SV}, {_SQ2})", "v >= q"),
+):
+    _add_sql_scalar(_name, _call, _sql)
+for _name, _call, _sql in (
+    ("add", "v::vector + q::vector", _zip("+")), ("sub", "v::vector - q", _zip("-")), ("mul", "v::vector * q::vector", _zip("*")),
+    ("concat", "v::vector || q::vector", "list_concat(v, q)"), ("subvector", "subvector(v, 5, 16)", "v[5:20]"),
+    ("normalize", "l2_normalize(v)", f"list_transform(v, lambda x: CAST(x::DOUBLE / sqrt({_dot('v', 'v')}) AS FLOAT))"),
+    ("halfvec_add", f"halfvec_add({_HV2}, {_HQ2})", _hzip("+")), ("halfvec_sub", f"halfvec_sub({_HV2}, {_HQ2})", _hzip("-")),
+    ("to_halfvec", _HV2, _HALF_SQL.format(v="v")), ("cast_array", "array_to_vector(transform(v, x -> double(x)), 64)", "v"),
+    ("text", "vector_in(vector_out(v))", "v"), ("binary", "halfvec_recv(halfvec_send(vector_to_halfvec(v, -1)))", _HALF_SQL.format(v="v")),
+    ("sparse_roundtrip", "sparsevec_to_vector(sparsevec_in(sparsevec_out(vector_to_sparsevec(v))))", "v"),
+    ("sparse_normalize", f"sparsevec_to_vector(sparsevec_l2_normalize({_SV}))", f"list_transform(v, lambda x: CAST(x::DOUBLE / sqrt({_dot('v', 'v')}) AS FLOAT))"),
+):
+    _add_sql_cells(_name, _call, _sql)
+
+
 @CATALOG.add("sparse_text_roundtrip", _cells_sql(_CUT.format(v="v")))
 def sparse_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = vectors(spark, sf_dir).select("vec_id", textio.sparsevec_in(textio.sparsevec_out(_SPARSE(F.col("embedding")))).alias("s"))
@@ -239,18 +320,37 @@ def vec_sum_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _agg_cells(aggregates.vec_sum(vectors(spark, sf_dir), "embedding", ["label"]), "sum", "label")
 
 
-@CATALOG.add("half_sum_by_label")
+_HALF_OF = lambda y: _HALF_SQL.format(v=f"[{y}]") + "[1]"
+_HALF_UNNEST = f"SELECT label, pos, {_HALF_OF('y')} AS y FROM ({_UNNEST.format(g='label,')})"
+
+
+def _half_agg_sql(how: str) -> str:
+    return f"SELECT label, pos, round({_HALF_OF('z')}, 5) AS x FROM (SELECT label, pos, {how}(y)::FLOAT AS z FROM ({_HALF_UNNEST}) GROUP BY label, pos)"
+
+
+@CATALOG.add("half_sum_by_label", _half_agg_sql("sum"))
 def half_sum_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir).withColumn("h", dense.to_half("embedding"))
     return _agg_cells(aggregates.vec_sum(rows, "h", ["label"], half=True), "sum", "label")
 
 
-@CATALOG.add("half_avg_by_label")
+@CATALOG.add("half_avg_by_label", _half_agg_sql("avg"))
 def half_avg_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir).withColumn("h", dense.to_half("embedding"))
     return _agg_cells(aggregates.vec_avg(rows, "h", ["label"], half=True), "avg", "label")
 
 
+def _add_sql_aggregate(how: str) -> None:
+    @CATALOG.add(f"sql_{how}", f"SELECT label, pos, round({how}(y)::FLOAT::DOUBLE, 5) AS x FROM ({_UNNEST.format(g='label,')}) GROUP BY label, pos")
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        _sql_view(spark, sf_dir)
+        return _agg_cells(vector_sql(spark, f"SELECT label, {how}(v::vector(64)) AS r FROM nearfield_e GROUP BY label"), "r", "label")
+
+
+_add_sql_aggregate("avg")
+_add_sql_aggregate("sum")
+
+
 # --- query shapes -----------------------------------------------------------------------------------------------------
 
 
@@ -298,6 +398,30 @@ def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("query_id", F.col("id").alias("vec_id"), "distance", "rank")
 
 
+_COARSE_SQL = "WITH e AS (SELECT vec_id, list_transform(embedding[1:3], lambda x: CASE WHEN x > 0 THEN 1::DOUBLE ELSE 0::DOUBLE END) AS v FROM embeddings)"
+
+
+@CATALOG.add(
+    "knn_ties",
+    f"{_COARSE_SQL} SELECT query_id, vec_id, distance, CAST(rank AS INTEGER) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, {SQL_METRICS['l2']('b.v', 'a.v')} AS distance, "
+    f"row_number() OVER (PARTITION BY a.vec_id ORDER BY {SQL_METRICS['l2']('b.v', 'a.v')}, b.vec_id) AS rank FROM e a, e b) WHERE rank <= {K}",
+)
+def knn_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of which an eighth are equal: the smaller ids win."""
+    signs = F.transform(F.slice("embedding", 1, 3), lambda x: F.when(x > 0, F.lit(1.0)).otherwise(F.lit(0.0)).cast("float"))
+    rows = vectors(spark, sf_dir).select("vec_id", signs.alias("v"))
+    got = knn.batch(rows, rows, K, "l2", "v", "vec_id", "v", "vec_id")
+    return got.select("query_id", F.col("id").alias("vec_id"), "distance", "rank")
+
+
+@CATALOG.add("mixed_dimensions", _topk_sql(SQL_METRICS["l2"]("v[1:32]", "q[1:32]"), "vec_id % 2 = 0"))
+def mixed_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column with vectors of 32 and of 64 elements: a query meets those of its own dimension."""
+    rows = vectors(spark, sf_dir)
+    mixed = rows.withColumn("v", F.when(F.col("vec_id") % 2 == 0, F.slice("embedding", 1, 32)).otherwise(F.col("embedding")))
+    return knn.exact(mixed, "v", F.slice(first_vector(rows), 1, 32), K, "l2", "vec_id", dim=32).select("vec_id", "distance")
+
+
 @CATALOG.add(
     "knn_join_nation",
     f"{_WITH_Q} SELECT vec_id, n_name, {SQL_METRICS['l2']('v', 'q')} AS distance FROM e JOIN nation ON label = n_nationkey WHERE n_regionkey = 1 ORDER BY distance, vec_id LIMIT {K}",
@@ -428,12 +552,61 @@ def _add_full_probe(name: str, kind: str, metric: str, coded, sql: str) -> None:
         return index.search(spark, query, K, probes=10).withColumnRenamed("id", "vec_id")
 
 
-_add_full_probe("ivf_ip", "vector", "ip", lambda v: v, _topk_sql(SQL_METRICS["ip"]("v", "q")))
-_add_full_probe("ivf_l1", "vector", "l1", lambda v: v, _topk_sql(SQL_METRICS["l1"]("v", "q")))
-_add_full_probe("ivf_half", "halfvec", "l2", dense.to_half, _topk_sql(f"sqrt({_l2sq(_HV, _HQ)})"))
+_HALF_METRICS = {m: f(_HV, _HQ) for m, f in SQL_METRICS.items()}
+_SPARSE_METRICS = {m: f(_CV, _CQ) for m, f in SQL_METRICS.items()}
+for _metric in ("ip", "l1"):
+    _add_full_probe(f"ivf_{_metric}", "vector", _metric, lambda v: v, _topk_sql(SQL_METRICS[_metric]("v", "q")))
+for _metric in ("l2", "ip", "l1"):
+    _add_full_probe("ivf_half" if _metric == "l2" else f"ivf_half_{_metric}", "halfvec", _metric, dense.to_half, _topk_sql(_HALF_METRICS[_metric]))
 _add_full_probe("ivf_hamming", "bit", "hamming", _BIT, _topk_sql(_HAMMING.format(a=_BV, b=_BQ)))
 _add_full_probe("ivf_jaccard", "bit", "jaccard", _BIT, _topk_sql(f"CASE WHEN {_AND} = 0 THEN 1::DOUBLE ELSE 1 - {_AND}::DOUBLE / {_OR}::DOUBLE END"))
-_add_full_probe("ivf_sparse", "sparsevec", "ip", _SPARSE, _topk_sql(f"-({_dot(_CV, _CQ)})"))
+for _metric in ("l2", "ip", "l1"):
+    _add_full_probe("ivf_sparse" if _metric == "ip" else f"ivf_sparse_{_metric}", "sparsevec", _metric, _SPARSE, _topk_sql(_SPARSE_METRICS[_metric]))
+
+
+def _add_cosine_probe(name: str, kind: str, coded, sql: str) -> None:
+    """Indexes under cosine hold unit vectors in single precision, hence distances to six places."""
+
+    @CATALOG.add(name, f"SELECT vec_id, round(distance, 6) AS distance FROM ({_topk_sql(sql)})")
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = vectors(spark, sf_dir).select("vec_id", coded(F.col("embedding")).alias("embedding"))
+        index = IvfIndex.build(rows, fresh_path(spark, "ivf"), "embedding", "vec_id", "cosine", kind, lists=10)
+        query = rows.where("vec_id = 0").head()[1]
+        got = index.search(spark, query.asDict() if kind == "sparsevec" else [float(x) for x in query], K, probes=10)
+        return got.select(F.col("id").alias("vec_id"), F.abs(F.round("distance", 6)).alias("distance"))
+
+
+_add_cosine_probe("ivf_cosine", "vector", lambda v: v, f"abs({_cos('v', 'q')})")
+_add_cosine_probe("ivf_half_cosine", "halfvec", dense.to_half, f"abs({_cos(_HV, _HQ)})")
+_add_cosine_probe("ivf_sparse_cosine", "sparsevec", _SPARSE, f"abs({_cos(_CV, _CQ)})")
+
+
+@CATALOG.add("ivf_partitioned", " UNION ALL ".join(f"SELECT * FROM ({_topk_sql(SQL_METRICS['l2']('v', 'q'), f'label = {k}', 3)})" for k in (1, 2, 3)))
+def ivf_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index for each of three labels, as for the partitions of a table; a query reads the one of its label."""
+    rows = vectors(spark, sf_dir)
+    query, out = knn.stored_vector(rows, "embedding", "vec_id", 0), None
+    for k in (1, 2, 3):
+        index = IvfIndex.build(rows, fresh_path(spark, "ivf"), "embedding", "vec_id", lists=4, where=F.col("label") == k)
+        got = index.search(spark, query, 3, probes=4).withColumnRenamed("id", "vec_id")
+        out = got if out is None else out.union(got)
+    return out
+
+
+@CATALOG.add("ivf_relaxed", f"SELECT * FROM ({_topk_sql(SQL_METRICS['l2']('v', 'q'), 'label = 3', 1_000_000)})")
+def ivf_relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relaxed order, then strictly sorted: all rows that pass the filter, as the limit is beyond them."""
+    rows = vectors(spark, sf_dir)
+    query = knn.stored_vector(rows, "embedding", "vec_id", 0)
+    wanted = rows.where("label = 3").select(F.col("vec_id").alias("id"))
+    got = _index(spark, rows).search(spark, query, 1_000_000, probes=1, where=wanted, iterative="relaxed_order", max_scan_tuples=2**31 - 1)
+    return got.orderBy("distance", "id").withColumnRenamed("id", "vec_id")
+
+
+@CATALOG.add("ivf_recall_full", "SELECT 20 AS probes, 1.0::DOUBLE AS recall")
+def ivf_recall_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With all lists read the recall is one."""
+    return ivf_recall(spark, sf_dir).where("probes = 20")
 
 
 @CATALOG.add("ivf_recall")

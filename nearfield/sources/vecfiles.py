@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Element type of each format, little-endian.
 PER_VECTOR = {"fvecs": "<f4", "bvecs": "<u1", "ivecs": "<i4"}
@@ -56,18 +57,59 @@ def read_vectors(spark: SparkSession, path: str, fmt: str | None = None, dim: in
             rows = rows.map(lambda r: (r[0], [float(v) for v in r[1]]))
         return spark.createDataFrame(rows, f"id long, vector array<{element}>")
     kind = pa.int32() if element == "int" else pa.float32()
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = [len(decode(raw.as_py(), fmt)) for raw in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["path", "n"])
+
+    base, total = {}, 0
+    for name, n in sorted(files.mapInArrow(count, "path string, n long").collect()):  # a row a file
+        base[name], total = total, total + n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for raw in b.column(0):
+            for name, raw in zip(b.column(0).to_pylist(), b.column(1)):
                 x = decode(raw.as_py(), fmt)
                 for at in range(0, len(x), 8192):
                     part = x[at : at + 8192]
                     offsets = pa.array(np.arange(0, part.size + 1, x.shape[1], dtype=np.int32))
                     flat = pa.array(np.ascontiguousarray(part).ravel().astype(kind.to_pandas_dtype()))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), pa.ListArray.from_arrays(offsets, flat)], ["id", "vector"])
+                    ids = np.arange(base[name] + at, base[name] + at + len(part))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(offsets, flat)], ["id", "vector"])
+
+    return files.mapInArrow(run, f"id long, vector array<{element}>")
+
+
+def write_vector_files(df: DataFrame, folder: str, fmt: str, vector: str = "vector", id_col: str = "id") -> int:
+    """A file for each range of ``id_col`` in a folder that all machines share, written by the executors; the number of vectors.
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, f"id long, vector array<{element}>")
+    Files are named in the order of the ids, so :func:`read_vectors` of the folder counts them in that order. A file appears
+    whole, by a rename, so a task that is run again leaves one.
+    """
+    if fmt not in PER_VECTOR | ONE_HEADER:
+        raise ValueError(f"unknown vector format {fmt!r}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as stores
+        from pyspark import TaskContext
+
+        parts = [b.column(0) for b in batches if b.num_rows]
+        if parts:
+            store, base = stores.FileSystem.from_uri(folder)
+            store.create_dir(base, recursive=True)
+            x = np.concatenate([p.flatten().to_numpy(zero_copy_only=False).reshape(len(p), -1) for p in parts])
+            task = TaskContext.get()
+            name = f"{base}/part-{task.partitionId():06d}.{fmt}"
+            with store.open_output_stream(f"{name}.{task.taskAttemptId()}.tmp") as out:
+                out.write(encode(x, fmt))
+            store.move(f"{name}.{task.taskAttemptId()}.tmp", name)
+            yield pa.RecordBatch.from_arrays([pa.array([len(x)], pa.int64())], ["n"])
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.where(F.col(vector).isNotNull()).repartitionByRange(parts, id_col).sortWithinPartitions(id_col)
+    return rows.select(vector).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
 
 
 def write_vectors(df: DataFrame, path: str, fmt: str, vector: str = "vector", id_col: str = "id") -> None:

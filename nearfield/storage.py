@@ -15,6 +15,8 @@ def scratch_dir(spark: SparkSession) -> str:
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if shared:
         return shared
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="nearfield-"))
     return f"file://{_own[0]}"

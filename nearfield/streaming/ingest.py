@@ -21,11 +21,8 @@ def ingest(stream: DataFrame, index_path: str, checkpoint: str, vector: str = "v
 
 
 def slide(index: LsmIndex, new_rows: DataFrame, expired_ids: DataFrame, batch_id: str | None = None) -> bool:
-    """One step of a sliding window: insert the new rows, delete the expired ids."""
-    done = index.insert(new_rows, batch_id)
-    if done:
-        index.delete(expired_ids)
-    return done
+    """One step of a sliding window: insert the new rows and delete the expired ids, in one commit; False for a known batch."""
+    return index.insert(new_rows, batch_id, expired=expired_ids)
 
 
 def tumbling(events: DataFrame, width: str, by: list[str | Column], value: str = "value", time: str = "ts", late: str | None = None) -> DataFrame:

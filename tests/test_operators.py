@@ -9,7 +9,7 @@ from nearfield.operators import aggregates, knn
 from nearfield.operators.ivf import IvfIndex, option
 from nearfield.operators.lsm import LsmIndex
 from nearfield.sources import vecfiles
-from nearfield.streaming.ingest import ingest, tumbling
+from nearfield.streaming.ingest import ingest, slide, tumbling
 
 
 def frame(spark, n=400, dim=3, seed=1):
@@ -93,8 +93,8 @@ def test_single_queries_push_down(spark, tmp_path):
 def test_similarity_join_in_blocks(spark):
     df, rows = frame(spark, 60)
     want = {(a[0], b[0]) for a in rows for b in rows if np.linalg.norm(np.float32(a[1]) - np.float32(b[1])) < 0.2}
-    for bound in (1000, 7):
-        got = knn.similarity_join(df, df, 0.2, bound=bound).collect()
+    for lists in (64, 3):
+        got = knn.similarity_join(df, df, 0.2, lists=lists).collect()
         assert {(r.left_id, r.right_id) for r in got} == want and len(got) == len(want)
 
 
@@ -298,3 +298,44 @@ def test_broken_vector_files():
         vecfiles.decode(b"\x03\x00\x00\x00abc", "fvecs")
     ids_, dist = vecfiles.read_ground_truth(np.array([2, 1, 7, 8], "<i4").tobytes() + np.array([0.5, 1.5], "<f4").tobytes())
     assert ids_.tolist() == [[7], [8]] and dist.tolist() == [[0.5], [1.5]]
+
+
+def test_batch_ties_go_to_smaller_ids(spark, monkeypatch):
+    df = spark.createDataFrame([(k, [1.0, 2.0]) for k in range(100)], "id long, vector array<float>").repartition(4)
+    for block in (knn.BLOCK_BYTES, 300):  # with small blocks: several passes
+        monkeypatch.setattr(knn, "BLOCK_BYTES", block)
+        got = knn.batch(df, df, 10).collect()
+        by_query = {}
+        for r in got:
+            by_query.setdefault(r.query_id, []).append((r["rank"], r.id))
+        assert len(by_query) == 100 and all([i for _, i in sorted(v)] == list(range(10)) for v in by_query.values())
+
+
+def test_slide_is_one_commit(spark, tmp_path):
+    df, rows = frame(spark, 40)
+    index = LsmIndex.create(df.where("id < 20"), f"file://{tmp_path}/i", lists=2)
+    new, old = df.where("id >= 20"), df.where("id < 10").select("id")
+    crashed = LsmIndex(spark, index.path)
+    crashed._commit = lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost"))
+    with pytest.raises(RuntimeError):
+        slide(crashed, new, old, "s#1")
+    again = LsmIndex(spark, index.path)
+    assert sorted(ids(again.rows())) == list(range(20))
+    assert slide(again, new, old, "s#1") and not slide(LsmIndex(spark, index.path), new, old, "s#1")
+    assert sorted(ids(LsmIndex(spark, index.path).rows())) == list(range(10, 40))
+    again.insert(df.where("id = 30").withColumn("vector", F.expr("transform(vector, x -> float(x + 9))")), "s#2")
+    far = [x + 9 for x in rows[30][1]]
+    best = again.search(far, 1, probes=2).head()
+    assert best.id == 30 and best.distance < 1e-5 and again.rows().count() == 30
+    for k in range(3, 6):
+        again.insert(df.limit(0), f"s#{k}")
+    assert again.state.batches == [] and again.state.streams == {"s": 5}
+
+
+@pytest.mark.parametrize("fmt", ["fvecs", "fbin"])
+def test_vector_files_of_a_folder_have_ids_of_their_own(spark, tmp_path, fmt):
+    df, rows = frame(spark, 50)
+    folder = f"file://{tmp_path}/out"
+    assert vecfiles.write_vector_files(df, folder, fmt) == 50
+    got = {r.id: r.vector for r in vecfiles.read_vectors(spark, folder, fmt).collect()}
+    assert sorted(got) == list(range(50)) and all(np.allclose(got[k], rows[k][1]) for k in got)
