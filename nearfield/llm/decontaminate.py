@@ -1,10 +1,13 @@
 """Benchmark decontamination.
 
-Method: n-grams of the test items are seeds. A document that holds any seed of an item is aligned with it (Smith-Waterman
-over words, around the seeds), which scores exact, edited and paraphrased copies alike. No seed is left out for being
-frequent; alignments that cannot reach the score are ruled out by the words that the item and the passage have in common.
+Method: n-grams of the test items are seeds, and documents are joined to items on them. A document that shares a seed with an
+item is aligned with it (Smith-Waterman over words, around the seeds), which scores exact, edited and paraphrased copies
+alike. No seed is left out for being frequent; alignments that cannot reach the score are ruled out by the words that the
+item and the passage have in common.
 
-The test items are read in blocks of a stated size, and only a block is broadcast; one pass over the corpus per block.
+Test items of at most ``block_bytes`` are broadcast with their seeds, and the join is a lookup in one pass over the documents.
+More are never gathered: a Bloom filter of bounded size picks the places of documents whose n-grams may be seeds, these are
+joined with the seeds by shuffle (frequent seeds dealt out over salts), and the (document, item) pairs meet their words.
 
 Defined cases: null, empty and wordless texts and items match nothing; items shorter than the seed are matched by their
 whole text; repeated items and documents are reported each; rows with a null id are reported with that null; very long texts
@@ -18,14 +21,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_rows
+from .common import arrow_schema, map_rows, materialize, slices, small_batches
 from .words import WordIds, grams
 
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Bytes of test items that are held in memory at once.
+#: Bytes of test items up to which they are broadcast.
 BLOCK_BYTES = 8 << 20
 #: Words of a seed.
 SEED_WORDS = 3
@@ -101,29 +105,116 @@ class Items:
             for item, q in self.where[g]:
                 by_item[item].add(p - q)
         for item, offsets in by_item.items():
-            x = self.words[item]
-            slack = max(4, len(x) // 2)
-            stop = -1
-            for o in sorted(offsets):
-                start = max(o - slack, stop, 0)
-                if stop >= 0 and o + len(x) <= stop:
-                    continue  # inside the interval just aligned
-                end = min(len(w), o + len(x) + slack)
-                if most(x, w[start:end]) < least:
-                    continue
-                score, s, e = align(x, w[start:end])
-                if score >= least:
-                    yield self.ids[item], score, start + s, start + e
-                    stop = start + e
-
-
-def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[Items]:
-    chosen = items.select(F.col(id_col).alias("item"), F.col(text_col).cast("string").alias("words"))
-    size = chosen.agg(F.sum(F.octet_length("words") + 16)).head()[0] or 0
-    n = max(1, -(-size // block_bytes))
-    for k in range(n):
-        block = chosen if n == 1 else chosen.where(F.pmod(F.xxhash64("item", "words"), F.lit(n)) == k)
-        yield Items.of(sorted(map(tuple, block.collect()), key=str))
+            for score, s, e in around(self.words[item], w, sorted(offsets), least):
+                yield self.ids[item], score, s, e
+
+
+def around(x: np.ndarray, w: np.ndarray, offsets: list[int], least: float) -> Iterator[tuple[float, int, int]]:
+    """(score, start, stop) of the alignments of item ``x`` in ``w`` near the diagonals ``offsets`` that reach ``least``."""
+    slack, stop = max(4, len(x) // 2), -1
+    for o in offsets:
+        start = max(o - slack, stop, 0)
+        if stop >= 0 and o + len(x) <= stop:
+            continue  # inside the interval just aligned
+        end = min(len(w), o + len(x) + slack)
+        if most(x, w[start:end]) < least:
+            continue
+        score, s, e = align(x, w[start:end])
+        if score >= least:
+            yield score, start + s, start + e
+            stop = start + e
+
+
+#: Bits of the filter of seeds, at most; pairs of one seed that are joined in one piece.
+FILTER_BITS, HOT_SEEDS = 1 << 26, 4096
+
+
+def _seeds(ids: list, texts: list, table: WordIds) -> pa.RecordBatch:
+    """``seed, at, n`` of each item with its number: its row's hash cannot name it, as rows may repeat."""
+    rows = []
+    for i, text in zip(ids, texts):
+        w, _ = table.of(text)
+        n = min(SEED_WORDS, len(w))
+        rows += [(i, g, k, n) for k, g in enumerate(grams(w, n).view(np.int64).tolist() if n else ())]
+    cols = list(zip(*rows)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow_schema(_SEEDS))], schema=arrow_schema(_SEEDS))
+
+
+_SEEDS, _CODED = "item long, seed long, at int, n int", "id {kind}, row long, w binary, t binary, hits array<struct<seed:long,p:int>>"
+
+
+def _seed_filter(seeds: DataFrame, n: int) -> np.ndarray:
+    """A bit for each of a bounded number of slots; fuller filters let more places through, never fewer."""
+    bits = 1 << max(10, min(FILTER_BITS.bit_length() - 1, (16 * max(n, 1)).bit_length()))
+    slot = F.pmod(F.col("seed"), F.lit(bits))
+    words = seeds.select((slot / 32).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(seed, {bits}) % 32 as int))").alias("m"))
+    got = words.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    table = np.zeros(bits // 32, np.uint32)
+    table[got["w"].to_numpy()] = got["m"].to_numpy().astype(np.uint32)
+    return table
+
+
+def _by_shuffle(docs: DataFrame, items: DataFrame, kinds: list[str], least: float) -> DataFrame:
+    """Matches by a join on seeds: ``docs(id, text)``, ``items(item, words)``."""
+    spark = docs.sparkSession
+    items = materialize(items.where("words is not null").withColumn("number", F.monotonically_increasing_id()), "items")
+    seeds = materialize(map_rows(items, "number", "words", _seeds, _SEEDS, WordIds), "seeds")
+    lengths = sorted(r[0] for r in seeds.select("n").distinct().collect())  # 1 to SEED_WORDS
+    held = spark.sparkContext.broadcast(_seed_filter(seeds, seeds.count()))
+    schema = arrow_schema(_CODED.format(kind=kinds[0]))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        bits, table, row = held.value, WordIds(), TaskContext.get().partitionId() << 36
+        for b in batches:
+            for part in slices(b, 1):
+                out = []
+                for i, text in zip(*(c.to_pylist() for c in part.columns)):
+                    w, at = table.of(text)
+                    hits = []
+                    for n in lengths:
+                        g = grams(w, n)
+                        slot = g.view(np.int64) & np.int64(len(bits) * 32 - 1)
+                        p = np.flatnonzero((bits[slot >> 5] >> (slot & 31).astype(np.uint32)) & np.uint32(1))
+                        hits += [{"seed": x, "p": y} for x, y in zip(g.view(np.int64)[p].tolist(), p.tolist())]
+                    if hits:
+                        out.append((i, row, w.tobytes(), None if at is None else at.tobytes(), hits))
+                    row += 1
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    small_batches(spark)
+    coded = materialize(docs.mapInArrow(code, _CODED.format(kind=kinds[0])), "coded")
+    hits = coded.select("row", F.explode("hits").alias("h")).select("row", "h.seed", "h.p")
+    hot = hits.groupBy("seed").agg(F.ceil(F.count("*") / HOT_SEEDS).cast("int").alias("salts")).where("salts > 1")
+    hot = materialize(hot.withColumnRenamed("seed", "hot"), "hot")
+    salts = F.coalesce("salts", F.lit(1))
+    hits = hits.join(hot, F.col("seed") == F.col("hot"), "left").select("row", "seed", "p", F.pmod(F.xxhash64("row"), salts).cast("int").alias("salt"))
+    seeds = seeds.join(hot, F.col("seed") == F.col("hot"), "left").select("item", "seed", "at", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    pairs = hits.join(seeds, ["seed", "salt"]).groupBy("row", "item").agg(F.sort_array(F.collect_set(F.col("p") - F.col("at"))).alias("offsets"))
+    words = items.select("number", F.col("item").alias("item_id"), "words")
+    met = pairs.join(words, F.col("item") == F.col("number")).join(coded.select("id", "row", "w", "t"), "row").select("id", "w", "t", "item_id", "words", "offsets")
+    ddl = f"doc_id {kinds[0]}, {MATCHES.format(item=kinds[1])}"
+    result = arrow_schema(ddl)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = WordIds()
+        for b in batches:
+            rows = []
+            for k in range(b.num_rows):
+                i, w, t, item, words, offsets = (c[k].as_py() for c in b.columns)
+                w, at = np.frombuffer(w, np.uint64), None if t is None else np.frombuffer(t, np.int64)
+                rows += [(i, item, score, *_tokens(at, s, e)) for score, s, e in around(table.of(words)[0], w, offsets, least)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), result)], schema=result)
+
+    return met.mapInArrow(check, ddl)
+
+
+def _tokens(at: np.ndarray | None, start: int, stop: int) -> tuple[int, int]:
+    """An interval of words as one of tokens."""
+    return (start, stop) if at is None else (int(at[start]), int(at[stop - 1]) + 1)
 
 
 MATCHES = "item_id {item}, score double, start_word long, stop_word long"
@@ -141,18 +232,17 @@ def contaminated(
     kinds = [docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()]
     ddl = f"doc_id {kinds[0]}, {MATCHES.format(item=kinds[1])}"
     names = [f.name for f in arrow_schema(ddl)]
-    found = None
-    for block in _blocks(items, item_id, item_text, block_bytes):
-
-        def fn(ids, texts, table, block=block):
-            rows = []
-            for i, t in zip(ids, texts):
-                w, at = table.of(t)
-                for item, score, s, e in block.matches(w, least):
-                    first, last = (s, e - 1) if at is None else (int(at[s]), int(at[e - 1]))
-                    rows.append((i, item, score, first, last + 1))
-            return dict(zip(names, zip(*rows))) if rows else None
-
-        part = map_rows(docs, doc_id, doc_text, fn, ddl, WordIds)
-        found = part if found is None else found.union(part)
-    return found
+    chosen = items.select(F.col(item_id).alias("item"), F.col(item_text).cast("string").alias("words"))
+    size = chosen.agg(F.sum(F.coalesce(F.octet_length("words"), F.lit(0)) + 16)).head()[0] or 0
+    if size > block_bytes:
+        return _by_shuffle(docs.select(F.col(doc_id).alias("id"), F.col(doc_text).cast("string").alias("text")), chosen, kinds, least)
+    held = docs.sparkSession.sparkContext.broadcast(Items.of(sorted(map(tuple, chosen.collect()), key=str)))  # of a checked size
+
+    def fn(ids, texts, table):
+        rows = []
+        for i, t in zip(ids, texts):
+            w, at = table.of(t)
+            rows += [(i, item, score, *_tokens(at, s, e)) for item, score, s, e in held.value.matches(w, least)]
+        return dict(zip(names, zip(*rows))) if rows else None
+
+    return map_rows(docs, doc_id, doc_text, fn, ddl, WordIds)

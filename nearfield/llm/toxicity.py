@@ -1,9 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Method: words map to the symbols insult, threat, target, negation, report, other. Four letter-to-letter transducers
-(negation, reported speech, target, scoring) are composed into one machine over clauses: negated insults count a little,
-reported ones half, insults at a target more, threats only with a target. A clause's score is the sum of its arcs'
-factors times the words' lexical weights; a text's score is a calibrated function of its clause scores.
+Method: words map to the symbols insult, threat, target, negation, report, intent, strength, other. Six letter-to-letter
+transducers are composed into one machine over clauses. The insult machine reads phrases of strengthening words and an
+epithet and writes an attack where the phrase ends; the threat machine reads an intent, a violent verb and a target, in the
+orders in which they make a threat, and writes a menace where the pattern is complete, so a violent verb alone is an other
+word. Negation dampens what was matched in its reach, reported speech halves it, a target in the clause raises attacks, and
+scoring lets only attacks and menaces count. A clause's score is the sum of its arcs' factors times the lexical weights (a
+menace has that of the clause's last violent verb); a text's score is a calibrated function of its clause scores.
 
 The lexicon has a small fixed part and a learned part: words and word stems (prefixes) whose document frequency among
 toxic training rows exceeds that among the others beyond chance. Only the bounded, class-balanced sample of the labels
@@ -32,12 +35,15 @@ from .common import arrow_schema, map_rows, materialize, release
 from .sampling import balanced
 
 # The hand-written part of the lexicon.
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, INTENT, STRONG, ATTACK, MENACE = range(10)
+_READ = range(8)  # the symbols of words; attacks and menaces are written by the machines
 INSULTS = "idiot idiots moron morons scum loser losers stupid pathetic worthless disgusting imbecile bastard".split()
 THREATS = "kill hurt destroy shoot stab strangle beat".split()
 TARGETS = "you your yours yourself u he she they him her them this that these those du dich dein ihr tu te ton vous vos usted ustedes ellos".split()
 NEGATIONS = "not never no isn aren wasn don nor without nicht kein keine ne pas jamais nunca jamas tampoco".split()
 REPORTS = "said says say wrote claimed called reported quoted allegedly sagte behauptete dit selon dijo dice según".split()
+INTENTS = "will shall gonna going should must want wanna let werde wirst soll vais va veux voy vamos quiero".split()
+STRENGTHS = "such so total totally complete completely utter utterly absolute bloody damn damned fucking real very sehr total complètement très muy tan".split()
 PRIOR_WEIGHT = 3.0
 
 _WORD = re.compile(r"\w+")
@@ -70,13 +76,48 @@ def compose(a: Transducer, b: Transducer) -> Transducer:
     return Transducer(start, arcs)
 
 
+def insults(bonus: float = 0.1, most: int = 2) -> Transducer:
+    """Insult phrases: any strengthening words (``most`` of them add to the factor), then an epithet, at which an attack is written."""
+    arcs = {}
+    for state in range(most + 1):  # strengthening words just before
+        for s in _READ:
+            out, factor = (ATTACK, 1.0 + bonus * state) if s == INSULT else (s, 1.0)
+            arcs[state, s] = (min(most, state + 1) if s == STRONG else 0, out, factor)
+    return Transducer(0, arcs)
+
+
+def threats(window: int = 4) -> Transducer:
+    """Threat patterns, each part within ``window`` words of the one before: (intent or target) verb target, or target intent verb.
+
+    A violent verb outside of a pattern is an other word; the pattern's last word is written as a menace.
+    """
+    arcs, symbols = {}, [*_READ, ATTACK]
+    for named in (False, True):  # a target was named in the clause
+        for meant in range(window + 1):  # words for which the last intent still holds
+            for verb in range(window + 1):  # words for which a violent verb awaits its target
+                for s in symbols:
+                    nxt = [named or s == TARGET, window if s == INTENT else max(0, meant - 1), max(0, verb - 1)]
+                    out = OTHER if s == THREAT else s
+                    if s == THREAT and named:
+                        out = MENACE
+                    elif s == THREAT and meant:
+                        nxt[2] = window
+                    elif s == TARGET and verb:
+                        out, nxt[2] = MENACE, 0
+                    arcs[(named, meant, verb), s] = (tuple(nxt), out, 1.0)
+    return Transducer((False, 0, 0), arcs)
+
+
+_MATCHED = [OTHER, TARGET, NEGATION, REPORT, INTENT, STRONG, ATTACK, MENACE]
+
+
 def negation(window: int = 3, factor: float = 0.2) -> Transducer:
-    """Dampens insults and threats up to ``window`` words after a negation."""
+    """Dampens what is matched up to ``window`` words after a negation."""
     arcs = {}
     for state in range(window + 1):  # words for which the last negation still holds
-        for s in range(6):
+        for s in _MATCHED:
             nxt = window if s == NEGATION else max(0, state - 1)
-            arcs[state, s] = (nxt, s, factor if state and s in (INSULT, THREAT) else 1.0)
+            arcs[state, s] = (nxt, s, factor if state and s in (ATTACK, MENACE) else 1.0)
     return Transducer(0, arcs)
 
 
@@ -84,28 +125,30 @@ def reported(factor: float = 0.5) -> Transducer:
     """Dampens what follows a verb of saying in its clause."""
     arcs = {}
     for state in (False, True):
-        for s in range(6):
-            arcs[state, s] = (state or s == REPORT, s, factor if state and s in (INSULT, THREAT) else 1.0)
+        for s in _MATCHED:
+            arcs[state, s] = (state or s == REPORT, s, factor if state and s in (ATTACK, MENACE) else 1.0)
     return Transducer(False, arcs)
 
 
 def targeted(bonus: float = 1.25) -> Transducer:
-    """Raises insults in a clause that has named a target; threats without a target become other words."""
+    """Raises attacks in a clause that has named a target."""
     arcs = {}
     for state in (False, True):
-        for s in range(6):
-            out = OTHER if s == THREAT and not state else s
-            arcs[state, s] = (state or s == TARGET, out, bonus if state and s == INSULT else 1.0)
+        for s in _MATCHED:
+            arcs[state, s] = (state or s == TARGET, s, bonus if state and s == ATTACK else 1.0)
     return Transducer(False, arcs)
 
 
 def scoring() -> Transducer:
-    """Lets only insults and threats count."""
-    return Transducer(0, {(0, s): (0, s, 1.0 if s in (INSULT, THREAT) else 0.0) for s in range(6)})
+    """Lets only attacks and menaces count."""
+    return Transducer(0, {(0, s): (0, s, 1.0 if s in (ATTACK, MENACE) else 0.0) for s in _MATCHED})
 
 
 def grammar() -> Transducer:
-    return compose(compose(compose(negation(), reported()), targeted()), scoring())
+    out = insults()
+    for part in (threats(), negation(), reported(), targeted(), scoring()):
+        out = compose(out, part)
+    return out
 
 
 @dataclass
@@ -124,11 +167,13 @@ class ToxicityModel:
     def _prepare(self):
         if self._ready is None:
             classes: dict[str, tuple[int, float]] = {}
-            for words, symbol in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT), (THREATS, THREAT), (INSULTS, INSULT)):
+            for words, symbol in (
+                (STRENGTHS, STRONG), (INTENTS, INTENT), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT), (THREATS, THREAT), (INSULTS, INSULT),
+            ):
                 classes |= {w: (symbol, PRIOR_WEIGHT) for w in words}
             machine = grammar()
             states = {s: k for k, s in enumerate(dict.fromkeys([machine.start, *(s for s, _ in machine.arcs)]))}
-            step = [[None] * 6 for _ in states]
+            step = [[None] * len(_READ) for _ in states]
             for (s, i), (n, _, f) in machine.arcs.items():
                 step[states[s]][i] = (states[n], f)
             self._ready = (_Words(self.lexicon, classes), _Hits(), step)
@@ -141,16 +186,18 @@ class ToxicityModel:
         low = (text or "").lower()
         if not any(map(hits.__getitem__, low.split())):
             return []
-        out, state, score = [], 0, 0.0
+        out, state, score, verb = [], 0, 0.0, 0.0
         for w in _TOKEN.findall(low):
             if w in ".!?;\n":
                 if score:
                     out.append(score)
-                state, score = 0, 0.0
+                state, score, verb = 0, 0.0, 0.0
                 continue
             symbol, weight = words[w]
+            if symbol == THREAT:
+                verb = weight
             state, factor = step[state][symbol]
-            score += factor * weight
+            score += factor * (verb if symbol == TARGET else weight)
         return [*out, score] if score else out
 
     def score(self, text: str | None) -> float:

@@ -157,7 +157,9 @@ def test_grammar_contexts():
     assert plain == toxicity.PRIOR_WEIGHT
     assert score("you idiot") > plain > score("he wrote idiot") > score("he wrote not idiot") > 0
     assert score("not a real idiot") < plain == score("not at all here now an idiot") == score("no. idiot")
-    assert score("we kill time") == 0 < score("you we kill")
+    assert score("we kill time") == 0 < score("you we kill") == score("we will kill you") == plain
+    assert score("we kill you") == score("kill it") == 0 and score("I will never kill you") < plain
+    assert score("he said he will kill them") == score("you: he said idiot") / 1.25 == plain / 2 and score("a total utter idiot") > plain
     assert score("idiot, moron") == 2 * plain and len(m.clauses("idiot! moron")) == 2
     assert m.clauses(None) == m.clauses("") == m.clauses("fine words") == []
     assert m.score("") == m.score(None) < 0.5
@@ -166,9 +168,9 @@ def test_grammar_contexts():
 def test_composition_is_that_of_the_parts():
     g = toxicity.grammar()
     rng = random.Random(1)
-    parts = [toxicity.negation(), toxicity.reported(), toxicity.targeted(), toxicity.scoring()]
+    parts = [toxicity.insults(), toxicity.threats(), toxicity.negation(), toxicity.reported(), toxicity.targeted(), toxicity.scoring()]
     for _ in range(200):
-        word = [rng.randrange(6) for _ in range(12)]
+        word = [rng.choice(toxicity._READ) for _ in range(12)]
         state, factors = g.start, []
         for s in word:
             state, _, f = g.arcs[state, s]
