@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,11 +33,27 @@ def _delete(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(df: DataFrame) -> None:
-    """Delete the files behind a frame made by :func:`materialize`, once nothing reads it any more."""
-    path = getattr(df, "scratch_path", None)
-    if path:
-        _delete(df.sparkSession, path)
+def release(*frames: DataFrame) -> None:
+    """Delete the files behind frames made by :func:`materialize`, once nothing reads them any more."""
+    for df in frames:
+        if path := getattr(df, "scratch_path", None):
+            _delete(df.sparkSession, path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that are gone: it does so when the driver's garbage is collected."""
+    gc.collect()
+    if (jvm := spark.sparkContext._jvm) is not None:
+        jvm.System.gc()
+
+
+def give_back() -> None:
+    """Return a Python worker's freed memory to the system: workers are kept for later tasks, and several share an executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        return
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -106,7 +124,8 @@ def map_rows(
                     yield out
                 elif out is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in types], schema=types)
-        pa.default_memory_pool().release_unused()
+                del part, out
+        give_back()
 
     small_batches(df.sparkSession)
     chosen = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_rows, materialize
+from .common import arrow_schema, give_back, map_rows, materialize, release, sweep
 from .pairs import prepared, with_values
 from .components import Forest, connected_components
 from .words import WordIds, grams
@@ -451,7 +451,7 @@ def _sifted(within: int, words: int, tree: bool, small: int = 24):
                 yield from emit(pairs(*(c[:first] for c in cols)))
         if held is not None:
             yield from emit(pairs(*held))
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     def emit(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -503,7 +503,8 @@ def _similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     """The pairs, as ``(u, v)``, whose shingle sets have that Jaccard similarity."""
 
     def code(ids, texts, table):
-        return {"id": ids, "s": [shingle_set(table.of(t)[0], width).tobytes() for t in texts]}
+        sets = [shingle_set(table.of(t)[0], width) for t in texts]
+        return {"id": ids, "s": [np.unique((x >> np.uint64(32)).astype(np.uint32)).tobytes() for x in sets]}  # half the bytes to ship
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -511,17 +512,20 @@ def _similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
             keep, held = np.zeros(b.num_rows, bool), (None, None)
             for k in range(b.num_rows):
                 if held[0] != (head := b.column(at["b"])[k].as_py()):
-                    held = (head, np.frombuffer(b.column(at["s_b"])[k].as_py(), np.uint64))
-                x, y = np.frombuffer(b.column(at["s_a"])[k].as_py(), np.uint64), held[1]
+                    held = (head, np.frombuffer(b.column(at["s_b"])[k].as_py(), np.uint32))
+                x, y = np.frombuffer(b.column(at["s_a"])[k].as_py(), np.uint32), held[1]
                 if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     keep[k] = both >= similarity * (len(x) + len(y) - both) and both > 0
             rows = pa.array(np.flatnonzero(keep))
             yield pa.RecordBatch.from_arrays([b.column(at["a"]).take(rows), b.column(at["b"]).take(rows)], ["u", "v"])
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     values = prepared(pairs, texts, code, "s binary", WordIds)
-    return materialize(with_values(pairs, values).mapInArrow(verify, "u long, v long"), "links")
+    out = materialize(with_values(pairs, values).mapInArrow(verify, "u long, v long"), "links")
+    release(values)
+    sweep(texts.sparkSession)
+    return out
 
 
 def similar_documents(
@@ -562,4 +566,7 @@ def similar_documents(
         more = similar_pairs(some.select("id", "fp", "label"), plan, similarity, tree=False).join(pairs, ["a", "b"], "left_anti")
         found = found.union(_similar(materialize(more, "pairs"), texts, width, similarity))
     links = found.union(verified.select(F.col("id").alias("u"), F.col("label").alias("v"))).union(copies)
-    return connected_components(links).withColumnRenamed("component", "component_id")
+    out = connected_components(links).withColumnRenamed("component", "component_id")
+    release(fps, distinct, pairs, label, split)
+    sweep(df.sparkSession)
+    return out

@@ -107,6 +107,7 @@ def gram_runs(shingles: np.ndarray, n: int) -> np.ndarray:
     if m <= 0:
         return np.empty(0, np.uint64)
     up, down = _power(len(shingles))
+    shingles = shingles.astype(np.uint64)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(shingles * up[: len(shingles)], dtype=np.uint64)])
     h = (sums[n:] - sums[:-n]) * down[:m]
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
