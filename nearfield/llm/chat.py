@@ -131,25 +131,23 @@ SEGMENTS = (
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """New turns and conversation ends in depth-first order -> segments of the packs."""
+    """New turns and conversation ends in depth-first order -> segments of the packs. Intervals that touch are one."""
     out, pack, at, stack = _Rows(SEGMENTS), object(), 0, []
     for p, place, idx, conv, shared, n_turns, role, text in _rows(batches):
         if p != pack:
             pack, at, stack = p, 0, []
+        del stack[n_turns if idx == n_turns else idx :]
+        path, length = stack[-1] if stack else ((), 0)  # the intervals of all turns up to here, and their characters
+        spans = [{"start": s, "stop": e} for s, e in path]
         if idx == n_turns:  # the end of a conversation: nothing is emitted, its path is the stack
-            del stack[n_turns:]
-            spans = [{"start": s, "stop": e} for s, e in stack]
-            yield from out.add((p, place, conv, idx, at, sum(e - s for s, e in stack), spans, at, at, "", True), 16 * len(stack))
+            yield from out.add((p, place, conv, idx, at, length, spans, at, at, "", True), 16 * len(path))
             continue
-        del stack[idx:]
         content = format_turn(role, text)
-        spans = [{"start": s, "stop": e} for s, e in stack]
         stop = at + len(content)
         loss = (stop - len(END) - len(escape(text)), stop - len(END)) if role == "assistant" else (at, at)
-        yield from out.add(
-            (p, place, conv, idx, at, sum(e - s for s, e in stack), spans, *loss, content, False), len(content) + 16 * len(stack)
-        )
-        stack.append((at, stop))
+        yield from out.add((p, place, conv, idx, at, length, spans, *loss, content, False), len(content) + 16 * len(path))
+        path = (*path[:-1], (path[-1][0], stop)) if path and path[-1][1] == at else (*path, (at, stop))
+        stack.append((path, length + len(content)))
         at = stop
     yield out.take()
 
