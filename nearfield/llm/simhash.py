@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, give_back, map_rows, materialize, release, sweep
-from .pairs import prepared, with_values
+from .pairs import id_filter, prepared, with_values
 from .components import Forest, connected_components
 from .words import WordIds, grams
 
@@ -351,17 +351,20 @@ def allot(n: int, differ: list[np.ndarray], share: float, miss: float, probe_cos
 
 
 _WIDE_ROWS = "bucket long, probe boolean, id long, label long, sift binary"
+#: What bounds the similarity of two documents: the shingles of each, and how many of them any other document has.
+_BOUNDS = "n int, shared int"
 
 
-def _wide_probes(plan: list[tuple[int, tuple[int, ...], int]], words: int):
-    """``plan``: (word, bits, threshold) of each partition; ``words`` of the fingerprint travel with a probe."""
+def _wide_probes(plan: list[tuple[int, tuple[int, ...], int]], words: int, rows: str = _WIDE_ROWS):
+    """``plan``: (word, bits, threshold) of each partition; ``words`` of the fingerprint travel with a probe, and all columns
+    after the label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema(_WIDE_ROWS)
+        schema = arrow_schema(rows)
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 cut = b.slice(at, 4096)
-                ids, labels = cut.column(0), cut.column(2)
+                ids, labels, more = cut.column(0), cut.column(2), cut.columns[3:]
                 fps = np.frombuffer(b"".join(cut.column(1).to_pylist()), "<u8").reshape(-1, WIDE)
                 sift = pa.array([f.tobytes() for f in fps[:, :words]], pa.binary())
                 for i, (word, bits, t) in enumerate(plan):
@@ -372,8 +375,8 @@ def _wide_probes(plan: list[tuple[int, tuple[int, ...], int]], words: int):
                         keep = np.nonzero(other > keys)[0] if flip else np.arange(len(keys))
                         if len(keep):
                             bucket = (other[keep] * np.uint64(0xD6E8FEB86659FD93) ^ salt).view(np.int64)
-                            rows = pa.array(keep)
-                            cols = [pa.array(bucket), pa.array(np.full(len(keep), flip > 0)), ids.take(rows), labels.take(rows), sift.take(rows)]
+                            at_rows = pa.array(keep)
+                            cols = [pa.array(bucket), pa.array(np.full(len(keep), flip > 0)), *(c.take(at_rows) for c in (ids, labels, sift, *more))]
                             yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     return run
@@ -397,25 +400,36 @@ def _nearest_tree(sift: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _apart(sift: np.ndarray, label: np.ndarray, within: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs with different labels and at most ``within`` differing bits, some rows of the first at a time."""
+def _apart(
+    sift: np.ndarray, label: np.ndarray, n: np.ndarray, shared: np.ndarray, within: int, similarity: float
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs with different labels, at most ``within`` differing bits and counts that allow the similarity, some rows of the
+    first at a time.
+
+    Two documents have at most the lesser ``shared`` in common, so with m of that their similarity is at most m / (n + n' - m).
+    """
     step = max(1, (1 << 18) // max(1, len(sift)))
     for at in range(0, len(sift), step):
-        d = np.bitwise_count(sift[at : at + step, None, :] ^ sift[None, at:, :]).sum(axis=2, dtype=np.int64)
-        i, j = np.nonzero(np.triu((d <= within) & (label[at : at + step, None] != label[None, at:]), 1))
-        if len(i):
-            yield at + i, at + j
+        some = slice(at, at + step)
+        most = (1 + similarity) * np.minimum(shared[some, None], shared[None, at:])
+        fits = (most >= similarity * (n[some, None] + n[None, at:]) - 1e-6) & (label[some, None] != label[None, at:])
+        i, j = np.nonzero(np.triu(fits, 1))
+        near = np.bitwise_count(sift[at + i] ^ sift[at + j]).sum(axis=1, dtype=np.int64) <= within
+        if near.any():
+            yield at + i[near], at + j[near]
 
 
-def _sifted(within: int, words: int, tree: bool, small: int = 24):
+def _sifted(within: int, words: int, tree: bool, similarity: float, small: int = 24):
     """Rows sorted by bucket -> candidate pairs of each bucket: a minimum spanning forest of its near pairs, or (without ``tree``)
-    all near pairs of rows with different labels.
+    all near pairs of rows with different labels whose counts allow the similarity.
 
     Distances are met first along diagonals of the sorted batch, for all buckets at once; only buckets in which some pair is near
     are looked at closer. Own-key rows and probes of a bucket count alike.
     """
 
-    def pairs(bucket: np.ndarray, ids: np.ndarray, label: np.ndarray, sift: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(
+        bucket: np.ndarray, ids: np.ndarray, label: np.ndarray, sift: np.ndarray, *bounds: np.ndarray
+    ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         edges = np.flatnonzero(np.diff(bucket)) + 1
         starts, stops = np.append(0, edges), np.append(edges, len(bucket))
         size = stops - starts
@@ -433,7 +447,7 @@ def _sifted(within: int, words: int, tree: bool, small: int = 24):
                 a, b = _nearest_tree(sift[s:e], within)
                 yield ids[s + a], ids[s + b]
             else:
-                for a, b in _apart(sift[s:e], label[s:e], within):
+                for a, b in _apart(sift[s:e], label[s:e], *(c[s:e] for c in bounds), within, similarity):
                     yield ids[s + a], ids[s + b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,6 +457,7 @@ def _sifted(within: int, words: int, tree: bool, small: int = 24):
                 continue
             cols = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 2, 3)]
             cols.append(np.frombuffer(b"".join(b.column(4).to_pylist()), "<u8").reshape(-1, words))
+            cols += [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns[5:]]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
             first = int(np.searchsorted(cols[0], cols[0][-1]))
@@ -488,15 +503,45 @@ def similar_pairs(fps: DataFrame, plan: list, similarity: float, tree: bool = Tr
     """``fps(id, fp, label)`` -> candidate pairs ``(a, b)``, a > b: of each bucket a spanning forest, or all with different labels.
 
     Pairs are candidates if their bits differ no more than at five standard deviations above the share of ``similarity``; a
-    forest is sifted by ``SIFT`` words, the pairs of the second kind by all.
+    forest is sifted by ``SIFT`` words, the pairs of the second kind by all, and by the bounds ``n, shared`` of :func:`_bounds`,
+    which ``fps`` has then.
     """
     words, share = SIFT if tree else WIDE, differing_share(similarity)
     within = math.ceil(64 * words * share + 5 * math.sqrt(64 * words * share * (1 - share)))
-    rows = fps.select("id", "fp", "label").mapInArrow(_wide_probes(plan, words), _WIDE_ROWS)
-    rows = _in_cells(rows, "id", chunk).select("bucket", "probe", "id", "label", "sift")
+    ddl = _WIDE_ROWS if tree else f"{_WIDE_ROWS}, {_BOUNDS}"
+    bounds = [] if tree else ["n", "shared"]
+    rows = fps.select("id", "fp", "label", *bounds).mapInArrow(_wide_probes(plan, words, ddl), ddl)
+    if bounds:
+        rows = rows.withColumnRenamed("n", "shingles")  # a bucket's count goes by that name
+    rows = _in_cells(rows, "id", chunk).select("bucket", "probe", "id", "label", "sift", *(["shingles", "shared"] if bounds else []))
     width = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(width, "bucket").sortWithinPartitions("bucket")
-    return rows.mapInArrow(_sifted(within, words, tree), "a long, b long").distinct()
+    return rows.mapInArrow(_sifted(within, words, tree, similarity), "a long, b long").distinct()
+
+
+def _bounds(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``(id, n, shared)`` of the documents in ``ids(id)``: their shingles, and how many of them another one of these has too.
+
+    Counted by two aggregations, without a join on shingles, so a shingle of very many documents is no hot key. An id with
+    several texts has the least ``n`` and the most ``shared`` that any of them could have.
+    """
+    schema = arrow_schema("id long, n int, shingle long")
+
+    def fn(ids, texts, table):
+        sets = [shingle_set(table.of(t)[0], width) for t in texts]
+        sizes = np.array([len(x) for x in sets], np.int32)
+        cols = [np.repeat(np.array(ids, np.int64), sizes), np.repeat(sizes, sizes), np.concatenate(sets).view(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=schema)
+
+    held = texts.where(id_filter(ids)(F.col("id"))).join(ids, "id", "left_semi")
+    rows = materialize(map_rows(held, "id", "text", fn, "id long, n int, shingle long", WordIds), "shingles")
+    once = rows.groupBy("shingle").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
+    own = once.groupBy("id").agg(F.count("*").cast("int").alias("own"))
+    sizes = rows.groupBy("id").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("c"))
+    shared = F.when(F.col("c") == F.col("n"), F.col("n") - F.coalesce("own", F.lit(0))).otherwise(F.col("most"))
+    out = materialize(sizes.join(own, "id", "left").select("id", "n", shared.alias("shared")), "bounds")
+    release(rows)
+    return out
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -535,7 +580,8 @@ def similar_documents(
 
     Only documents with a link are returned; ``component_id`` is the smallest id of the component. Candidates of a bucket are
     thinned to a spanning forest and verified; where a link of a forest fails, all near pairs of that group that the verified
-    links do not join are verified in a second round, so thinning loses no link. Documents with equal wide fingerprints are
+    links do not join are verified in a second round, so thinning loses no link. That round leaves out pairs that cannot reach the
+    similarity, given the shingles that no other document there has. Documents with equal wide fingerprints are
     taken as copies; texts without words are copies only where the texts are equal. A pair of just that similarity is no
     candidate with probability ``miss`` at most, more similar pairs are missed less. Null ids take no part; repeated ids
     count as one document; null texts are texts without words.
@@ -562,9 +608,12 @@ def similar_documents(
     split = label.groupBy("component").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("component")
     split = materialize(split, "split")
     if not split.isEmpty():
-        some = worded.join(label.join(split, "component", "left_semi").select("id", "label"), "id")
-        more = similar_pairs(some.select("id", "fp", "label"), plan, similarity, tree=False).join(pairs, ["a", "b"], "left_anti")
-        found = found.union(_similar(materialize(more, "pairs"), texts, width, similarity))
+        some = materialize(label.join(split, "component", "left_semi").select("id", "label"), "some")
+        bounds = _bounds(some.select("id"), texts, width)
+        rows = worded.join(some, "id").join(bounds, "id").select("id", "fp", "label", "n", "shared")
+        more = materialize(similar_pairs(rows, plan, similarity, tree=False).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        found = found.union(_similar(more, texts, width, similarity))
+        release(some, bounds, more)
     links = found.union(verified.select(F.col("id").alias("u"), F.col("label").alias("v"))).union(copies)
     out = connected_components(links).withColumnRenamed("component", "component_id")
     release(fps, distinct, pairs, label, split)
