@@ -351,8 +351,10 @@ def allot(n: int, differ: list[np.ndarray], share: float, miss: float, probe_cos
 
 
 _WIDE_ROWS = "bucket long, probe boolean, id long, label long, sift binary"
-#: What bounds the similarity of two documents: the shingles of each, and how many of them any other document has.
-_BOUNDS = "n int, shared int"
+#: What bounds the similarity of two documents: the number of shingles, and for each of ``CLASSES`` classes of their hashes how
+#: many any other document has too (16 bits; the largest value stands for any number).
+_BOUNDS = "n int, shared binary"
+CLASSES, _ANY = 64, 65535
 
 
 def _wide_probes(plan: list[tuple[int, tuple[int, ...], int]], words: int, rows: str = _WIDE_ROWS):
@@ -406,17 +408,22 @@ def _apart(
     """All pairs with different labels, at most ``within`` differing bits and counts that allow the similarity, some rows of the
     first at a time.
 
-    Two documents have at most the lesser ``shared`` in common, so with m of that their similarity is at most m / (n + n' - m).
+    Two documents have at most the lesser ``shared`` of each class in common, so with m in all their similarity is at most
+    m / (n + n' - m).
     """
-    step = max(1, (1 << 18) // max(1, len(sift)))
+    step = max(1, (1 << 17) // max(1, len(sift)))
+    total = np.where((shared == _ANY).any(axis=1), 1 << 40, shared.sum(axis=1, dtype=np.int64))
     for at in range(0, len(sift), step):
         some = slice(at, at + step)
-        most = (1 + similarity) * np.minimum(shared[some, None], shared[None, at:])
-        fits = (most >= similarity * (n[some, None] + n[None, at:]) - 1e-6) & (label[some, None] != label[None, at:])
+        need = similarity * (n[some, None] + n[None, at:]) / (1 + similarity) - 1e-6
+        fits = (np.minimum(total[some, None], total[None, at:]) >= need) & (label[some, None] != label[None, at:])
         i, j = np.nonzero(np.triu(fits, 1))
         near = np.bitwise_count(sift[at + i] ^ sift[at + j]).sum(axis=1, dtype=np.int64) <= within
-        if near.any():
-            yield at + i[near], at + j[near]
+        i, j = i[near], j[near]
+        common = np.minimum(shared[at + i], shared[at + j])
+        keep = (common.sum(axis=1, dtype=np.int64) >= need[i, j]) | (common == _ANY).any(axis=1)
+        if keep.any():
+            yield at + i[keep], at + j[keep]
 
 
 def _sifted(within: int, words: int, tree: bool, similarity: float, small: int = 24):
@@ -457,7 +464,9 @@ def _sifted(within: int, words: int, tree: bool, similarity: float, small: int =
                 continue
             cols = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 2, 3)]
             cols.append(np.frombuffer(b"".join(b.column(4).to_pylist()), "<u8").reshape(-1, words))
-            cols += [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns[5:]]
+            if not tree:
+                cols.append(b.column(5).to_numpy(zero_copy_only=False).astype(np.int64))
+                cols.append(np.frombuffer(b"".join(b.column(6).to_pylist()), "<u2").reshape(-1, CLASSES))
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
             first = int(np.searchsorted(cols[0], cols[0][-1]))
@@ -520,10 +529,10 @@ def similar_pairs(fps: DataFrame, plan: list, similarity: float, tree: bool = Tr
 
 
 def _bounds(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """``(id, n, shared)`` of the documents in ``ids(id)``: their shingles, and how many of them another one of these has too.
+    """``(id, n, shared)`` of the documents in ``ids(id)``: their shingles, and by class how many another one of these has too.
 
     Counted by two aggregations, without a join on shingles, so a shingle of very many documents is no hot key. An id with
-    several texts has the least ``n`` and the most ``shared`` that any of them could have.
+    several texts has the least ``n`` and any number of shared ones.
     """
     schema = arrow_schema("id long, n int, shingle long")
 
@@ -533,13 +542,31 @@ def _bounds(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
         cols = [np.repeat(np.array(ids, np.int64), sizes), np.repeat(sizes, sizes), np.concatenate(sets).view(np.int64)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=schema)
 
+    def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shared = []
+            for several, held in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                counts = np.full(CLASSES, _ANY)
+                if not several:
+                    counts[:] = 0
+                    for c in held:
+                        counts[c["class"]] = min(c["c"], _ANY)
+                shared.append(counts.astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shared, pa.binary())], ["id", "n", "shared"])
+
     held = texts.where(id_filter(ids)(F.col("id"))).join(ids, "id", "left_semi")
     rows = materialize(map_rows(held, "id", "text", fn, "id long, n int, shingle long", WordIds), "shingles")
-    once = rows.groupBy("shingle").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
-    own = once.groupBy("id").agg(F.count("*").cast("int").alias("own"))
-    sizes = rows.groupBy("id").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("c"))
-    shared = F.when(F.col("c") == F.col("n"), F.col("n") - F.coalesce("own", F.lit(0))).otherwise(F.col("most"))
-    out = materialize(sizes.join(own, "id", "left").select("id", "n", shared.alias("shared")), "bounds")
+    kind = F.pmod("shingle", F.lit(CLASSES)).cast("int").alias("class")
+    all_of = rows.groupBy("id", kind).agg(F.min("n").alias("n"), F.count("*").alias("c"))
+    once = rows.groupBy("shingle").agg(F.count("*").alias("seen"), F.min("id").alias("id")).where("seen = 1")
+    own = once.groupBy("id", kind).agg(F.count("*").alias("own"))
+    left = all_of.join(own, ["id", "class"], "left").withColumn("left", F.col("c") - F.coalesce("own", F.lit(0)))
+    packed = left.groupBy("id").agg(
+        F.min("n").alias("n"),
+        (F.sum("c") != F.min("n")).alias("several"),
+        F.collect_list(F.struct("class", F.col("left").alias("c"))).alias("held"),
+    )
+    out = materialize(packed.mapInArrow(by_class, f"id long, {_BOUNDS}"), "bounds")
     release(rows)
     return out
 
