@@ -19,6 +19,8 @@ from nearfield.storage import fresh_path
 SLICE_BYTES, BATCH_ROWS = 4 << 20, 2048
 #: Rows of a Parquet row group that a writer holds back, in bytes.
 _ROW_GROUP = 16 << 20
+#: Lets Spark delete the shuffle files of a statement as soon as it has ended, rather than when the driver's garbage is collected.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,12 +61,18 @@ def give_back() -> None:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared scratch folder and read it back.
 
-    Survives the loss of any executor, unlike a cache or a local checkpoint.
+    Survives the loss of any executor, unlike a cache or a local checkpoint. The shuffle files of the write go with its end:
+    nothing reads them once the table is there.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     small_batches(spark)
-    df.write.option("parquet.block.size", _ROW_GROUP).parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("parquet.block.size", _ROW_GROUP).parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     atexit.register(_quietly, spark, path)
