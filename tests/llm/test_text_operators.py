@@ -428,6 +428,48 @@ def test_a_short_version_in_the_smallest_document_hides_no_repeat(spark):
     assert got == {(k + 2, k + 1) for k in range(0, n, 3)}
 
 
+def test_a_short_version_in_the_smallest_document_hides_no_edited_repeat(spark):
+    """As above, but the third document has a word of the passage changed, so no 50 words of it are repeated as they are."""
+    rng, rows, n = random.Random(78), [], 0
+    for _ in range(60):
+        shared = prose(rng, rng.choice([58, 60, 64]), 9000).split()
+        cut = shared[:46] if rng.random() < 0.5 else shared[-46:]
+        other = shared.copy()
+        other[rng.randrange(20, 40)] = "changed"
+        for words in (cut, shared, other):
+            rows.append((n, " ".join([prose(rng, 30, 9000), *words, prose(rng, 30, 9000)]), "x"))
+            n += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string").repartition(3)
+    got = {(r.doc_id, r.source_doc_id) for r in substrings.repeated_passages(df).collect()}
+    assert got == {(k + 2, k + 1) for k in range(0, n, 3)}
+
+
+def test_a_repeat_of_a_linked_document_is_found(spark):
+    """The second document of a case repeats the first one but for two words; the third repeats the second one's part between them."""
+    rng, rows, n = random.Random(79), [], 0
+    for _ in range(40):
+        shared = prose(rng, 150, 9000).split()
+        first = shared.copy()
+        first[60], first[90] = "one", "two"
+        for words in (first, shared, shared[48:102]):
+            rows.append((n, " ".join([prose(rng, 30, 9000), *words, prose(rng, 30, 9000)]), "x"))
+            n += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string").repartition(3)
+    got = {(r.doc_id, r.source_doc_id) for r in substrings.repeated_passages(df).collect()}
+    assert got == {p for k in range(0, n, 3) for p in ((k + 1, k), (k + 2, k + 1))}
+
+
+def test_documents_that_meet_link_to_every_set_they_repeat():
+    rng = np.random.default_rng(5)
+    a, b, c = (rng.integers(1, 1 << 32, 60, dtype=np.uint32) for _ in range(3))
+    edited = a.copy()
+    edited[28:33] += 1
+    near = [x.tobytes() for x in (a, edited, b, a, c, b[:40])]
+    ids = np.arange(1, 7)
+    assert sorted(substrings.met(ids, ids, ids, np.full(6, 4), near, 46, 0.8)) == [(2, 1), (4, 1)]
+    assert len(substrings.met(ids[:3], np.array([1, 0, 0]), ids[:3], np.full(3, 4), [near[0], near[1], near[3]], 46, 0.8)) == 1
+
+
 def test_remove_passages_keeps_one(spark):
     rows = passage_rows()
     df = spark.createDataFrame([(i, t, "en", None, 1) for i, t in rows], DOCS).repartition(4)
