@@ -470,6 +470,69 @@ def test_documents_that_meet_link_to_every_set_they_repeat():
     assert len(substrings.met(ids[:3], np.array([1, 0, 0]), ids[:3], np.full(3, 4), [near[0], near[1], near[3]], 46, 0.8)) == 1
 
 
+def test_near_misses_around_a_key_are_not_aligned(monkeypatch):
+    rng, at = np.random.default_rng(3), 76
+    first = rng.integers(1, 1 << 32, 153).astype(np.uint32)
+    near = [first.tobytes()]
+    for step in [4] * 40 + [25]:  # every so many shingles outside the run at the key differ; the similarity with 4 is below 0.8
+        other = first.copy()
+        places = [65, 88, *(p for p in range(int(rng.integers(0, step)), 153, step) if not 65 <= p <= 88)]
+        other[places] = rng.integers(1, 1 << 32, len(places))
+        near.append(other.tobytes())
+    aligned, align = [], substrings.common_passages
+    monkeypatch.setattr(substrings, "common_passages", lambda *a: aligned.append(a) or align(*a))
+    ids = np.arange(1, 43)
+    assert substrings.met(ids, ids, np.where(ids == 1, 1, np.where(ids == 42, 42, 2)), np.full(42, at), near, 46, 0.8) == [(42, 1)]
+    assert len(aligned) <= 2
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_documents_that_meet_are_joined_as_by_all_pairs(seed):
+    rng, least, at = np.random.default_rng(seed), 12, 15
+    texts = rng.integers(1, 9, (6, 40)).astype(np.uint32)[rng.integers(0, 6, 60)]
+    for t in texts:  # stretches of two texts on either side of the key
+        t[: rng.integers(0, 16)] = rng.integers(1, 1 << 32)
+        t[rng.integers(17, 40) :] = rng.integers(1, 1 << 32)
+    starts = rng.integers(0, 8, 60)
+    near = [t[s : rng.integers(20, 41)] for t, s in zip(texts, starts)]
+    ids, places, one, want = np.arange(60), at - starts, np.zeros(60, np.int64), components.Forest()
+    for x, y in itertools.combinations(range(60), 2):
+        (a, p), (b, q) = (near[x], places[x]), (near[y], places[y])
+        sides = (a[:p][::-1], b[:q][::-1]), (a[p:], b[q:])
+        run = sum(len(list(itertools.takewhile(lambda pair: pair[0] == pair[1], zip(*side)))) for side in sides)
+        if run >= least:
+            want.join(x, y)
+    got = components.Forest()
+    links = substrings.met(ids, ids, one, places, [x.tobytes() for x in near], least, 0.8)
+    for x, y in links:
+        got.join(x, y)
+    assert [got.find(x) for x in range(60)] == [want.find(x) for x in range(60)] and len(links) == 60 - len({want.find(x) for x in range(60)})
+
+
+def test_chains_take_the_best_run_before(monkeypatch):
+    rng = np.random.default_rng(5)
+    p, q, n = rng.integers(0, 200, 150), rng.integers(0, 200, 150), rng.integers(1, 20, 150)
+    order = np.lexsort((q, p))
+    p, q, n = p[order], q[order], n[order]
+    for local, size in itertools.product((False, True), (1 << 17, 50)):
+        monkeypatch.setattr(substrings, "_REACHED", size)
+        via, skip, score, common = substrings._chained(n, substrings._reached(p, q, n), 0.25, local)
+        best, held = [], []
+        for k in range(150):
+            ways = []
+            for j in range(k):
+                over = max(0, p[j] + n[j] - p[k], q[j] + n[j] - q[k])
+                gaps = p[k] + over - p[j] - n[j], q[k] + over - q[j] - n[j]
+                if over < n[k] and max(gaps) < substrings.GAP:
+                    ways.append((best[j] + 0.25 * (n[k] - over) - sum(gaps), -j, over))
+            top = max(ways, default=None)
+            if top is None or local and top[0] <= 0.25 * n[k]:
+                top = 0.25 * n[k], 1, 0
+            best.append(top[0])
+            held.append(n[k] - top[2] + (held[-top[1]] if top[1] <= 0 else 0))
+            assert (via[k], skip[k], score[k], common[k]) == (-top[1], top[2], top[0], held[k])
+
+
 def test_remove_passages_keeps_one(spark):
     rows = passage_rows()
     df = spark.createDataFrame([(i, t, "en", None, 1) for i, t in rows], DOCS).repartition(4)
