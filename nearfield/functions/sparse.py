@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..types import SPARSE_DDL, SPARSE_MAX_NNZ, VECTOR_MAX_DIM, col, fail_if
+from ..types import SPARSE_DDL, SPARSE_MAX_NNZ, VECTOR_MAX_DIM, bound, col, fail_if
 from .dense import scaled_by, to_half
 
 Arg = Column | str
@@ -20,10 +20,18 @@ def sparse(dim: Column | int, indices: Column, values: Column) -> Column:
     return made.cast(SPARSE_DDL)
 
 
-def _same(a: Column, b: Column, body: Column) -> Column:
-    message = F.format_string("different sparsevec dimensions %d and %d", a["dim"], b["dim"])
-    body = F.when(a.isNotNull() & b.isNotNull(), body)
-    return fail_if(a["dim"] != b["dim"], message, body)
+def _both(a: Arg, b: Arg, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of two vectors that are computed once a row; null if one is."""
+    of = lambda p: F.when(p["a"].isNotNull() & p["b"].isNotNull(), body(p["a"], p["b"]))
+    return bound(F.struct(col(a).alias("a"), col(b).alias("b")), of)
+
+
+def _same(a: Arg, b: Arg, body: Callable[[Column, Column], Column]) -> Column:
+    def checked(a: Column, b: Column) -> Column:
+        message = F.format_string("different sparsevec dimensions %d and %d", a["dim"], b["dim"])
+        return fail_if(a["dim"] != b["dim"], message, body(a, b))
+
+    return _both(a, b, checked)
 
 
 def _map(v: Column) -> Column:
@@ -43,8 +51,7 @@ def _sum(a: Column, b: Column, f: Callable[[Column, Column], Column]) -> Column:
 
 
 def l2_squared_distance(a: Arg, b: Arg) -> Column:
-    a, b = col(a), col(b)
-    return _same(a, b, _sum(a, b, lambda x, y: (x - y) * (x - y)))
+    return _same(a, b, lambda a, b: _sum(a, b, lambda x, y: (x - y) * (x - y)))
 
 
 def l2_distance(a: Arg, b: Arg) -> Column:
@@ -52,8 +59,7 @@ def l2_distance(a: Arg, b: Arg) -> Column:
 
 
 def inner_product(a: Arg, b: Arg) -> Column:
-    a, b = col(a), col(b)
-    return _same(a, b, _sum(a, b, lambda x, y: x * y))
+    return _same(a, b, lambda a, b: _sum(a, b, lambda x, y: x * y))
 
 
 def negative_inner_product(a: Arg, b: Arg) -> Column:
@@ -61,8 +67,7 @@ def negative_inner_product(a: Arg, b: Arg) -> Column:
 
 
 def l1_distance(a: Arg, b: Arg) -> Column:
-    a, b = col(a), col(b)
-    return _same(a, b, _sum(a, b, lambda x, y: F.abs(x - y)))
+    return _same(a, b, lambda a, b: _sum(a, b, lambda x, y: F.abs(x - y)))
 
 
 def _squares(v: Column) -> Column:
@@ -70,10 +75,11 @@ def _squares(v: Column) -> Column:
 
 
 def cosine_distance(a: Arg, b: Arg) -> Column:
-    a, b = col(a), col(b)
-    norms = _squares(a) * _squares(b)
-    cos = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _sum(a, b, lambda x, y: x * y) / F.sqrt(norms)))
-    return _same(a, b, F.when(norms == 0, F.lit(math.nan)).otherwise(1 - cos))
+    def body(a: Column, b: Column) -> Column:
+        cos = lambda norms: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _sum(a, b, lambda x, y: x * y) / F.sqrt(norms)))
+        return bound(_squares(a) * _squares(b), lambda norms: F.when(norms == 0, F.lit(math.nan)).otherwise(1 - cos(norms)))
+
+    return _same(a, b, body)
 
 
 def l2_norm(a: Arg) -> Column:
@@ -82,24 +88,25 @@ def l2_norm(a: Arg) -> Column:
 
 def _without_zeros(dim: Column, indices: Column, values: Column) -> Column:
     kept = F.filter(F.arrays_zip(indices.alias("i"), values.alias("x")), lambda p: p["x"] != 0)
-    return sparse(dim, F.transform(kept, lambda p: p["i"]), F.transform(kept, lambda p: p["x"]))
+    return bound(kept, lambda k: sparse(dim, F.transform(k, lambda p: p["i"]), F.transform(k, lambda p: p["x"])))
 
 
 def l2_normalize(a: Arg) -> Column:
     """Unit length; entries that underflow to zero are dropped."""
-    a = col(a)
-    scaled = scaled_by(a["values"], l2_norm(a))
-    return F.when(a.isNotNull(), _without_zeros(a["dim"], a["indices"], scaled))
+    unit = lambda a: _without_zeros(a["dim"], a["indices"], scaled_by(a["values"], l2_norm(a)))
+    return bound(a, lambda a: F.when(a.isNotNull(), unit(a)))
 
 
 def sparsevec_cmp(a: Arg, b: Arg) -> Column:
     """-1, 0 or 1: the first element that differs decides, absent ones being zero, within the shorter dimension."""
-    a, b = col(a), col(b)
-    least = F.least(a["dim"], b["dim"])
-    unequal = F.filter(_pairs(a, b), lambda p: (p["x"] != p["y"]) & (p["i"] < least))
-    by_dim = F.when(a["dim"] < b["dim"], -1).when(a["dim"] > b["dim"], 1).otherwise(0)
-    out = F.coalesce(F.get(F.transform(unequal, lambda p: F.when(p["x"] < p["y"], -1).otherwise(1)), F.lit(0)), by_dim)
-    return F.when(a.isNotNull() & b.isNotNull(), out)
+
+    def body(a: Column, b: Column) -> Column:
+        least = F.least(a["dim"], b["dim"])
+        unequal = F.filter(_pairs(a, b), lambda p: (p["x"] != p["y"]) & (p["i"] < least))
+        by_dim = F.when(a["dim"] < b["dim"], -1).when(a["dim"] > b["dim"], 1).otherwise(0)
+        return F.coalesce(F.get(F.transform(unequal, lambda p: F.when(p["x"] < p["y"], -1).otherwise(1)), F.lit(0)), by_dim)
+
+    return _both(a, b, body)
 
 
 def sparsevec_lt(a: Arg, b: Arg) -> Column:
@@ -131,27 +138,30 @@ def sort_key(a: Arg) -> Column:
 
     A positive entry makes a vector greater the earlier its index, a negative one less.
     """
-    a = col(a)
     entry = lambda i, x: F.array(
         F.when(x > 0, F.lit(2.0)).otherwise(F.lit(0.0)), F.when(x > 0, -i.cast("double")).otherwise(i.cast("double")), x.cast("double")
     )
-    body = F.flatten(F.zip_with(a["indices"], a["values"], entry))
-    return F.struct(F.concat(body, F.array(F.lit(1.0))).alias("k"), a["dim"].alias("d"))
+    body = lambda a: F.flatten(F.zip_with(a["indices"], a["values"], entry))
+    return bound(a, lambda a: F.struct(F.concat(body(a), F.array(F.lit(1.0))).alias("k"), a["dim"].alias("d")))
 
 
 def from_dense(a: Arg) -> Column:
-    a = col(a)
-    made = _without_zeros(F.size(a), F.sequence(F.lit(0), F.size(a) - 1), a)
-    stored = F.size(F.filter(a, lambda x: x != 0))
-    over = stored > SPARSE_MAX_NNZ
-    return F.when(a.isNotNull(), fail_if(over, f"sparsevec cannot have more than {SPARSE_MAX_NNZ} non-zero elements", made))
+    def body(a: Column) -> Column:
+        made = _without_zeros(F.size(a), F.sequence(F.lit(0), F.size(a) - 1), a)
+        stored = F.size(F.filter(a, lambda x: x != 0))
+        over = stored > SPARSE_MAX_NNZ
+        return F.when(a.isNotNull(), fail_if(over, f"sparsevec cannot have more than {SPARSE_MAX_NNZ} non-zero elements", made))
+
+    return bound(a, body)
 
 
 def to_dense(a: Arg) -> Column:
-    a = col(a)
-    zeros = F.map_from_arrays(F.sequence(F.lit(0), a["dim"] - 1), F.array_repeat(F.lit(0.0).cast("float"), a["dim"]))
-    body = F.map_values(F.map_zip_with(zeros, _map(a), lambda i, zero, x: F.coalesce(x, zero)))
-    return fail_if(a["dim"] > VECTOR_MAX_DIM, f"vector cannot have more than {VECTOR_MAX_DIM} dimensions", body)
+    def body(a: Column) -> Column:
+        zeros = F.map_from_arrays(F.sequence(F.lit(0), a["dim"] - 1), F.array_repeat(F.lit(0.0).cast("float"), a["dim"]))
+        out = F.map_values(F.map_zip_with(zeros, _map(a), lambda i, zero, x: F.coalesce(x, zero)))
+        return fail_if(a["dim"] > VECTOR_MAX_DIM, f"vector cannot have more than {VECTOR_MAX_DIM} dimensions", out)
+
+    return bound(a, body)
 
 
 def to_half_dense(a: Arg) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, FloatType, IntegerType, StructField, StructType
@@ -26,6 +28,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column | str, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, however often and under whatever lambda ``body`` names it."""
+    return F.get(F.transform(F.array(col(value)), body), F.lit(0))
+
+
 def fail_if(bad: Column, message: Column | str, otherwise: Column) -> Column:
     """``otherwise``, or an error at run time where ``bad`` holds."""
     return F.when(bad, F.raise_error(message if isinstance(message, Column) else F.lit(message))).otherwise(otherwise)

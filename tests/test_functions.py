@@ -121,6 +121,14 @@ def test_sparse_comparison_equals_dense(spark, a, b):
         assert got.lt == (want < 0)
 
 
+def test_sparse_arguments_are_computed_once_a_row(spark):
+    rows = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0])], "a array<float>, b array<float>")
+    x, y = sparse.from_dense(F.reverse("a")), sparse.from_dense(F.reverse("b"))
+    for f, n in ((sparse.sparsevec_lt, 2), (sparse.sparsevec_ge, 2), (sparse.cosine_distance, 2), (lambda x, y: sparse.to_dense(x), 1), (lambda x, y: sparse.l2_normalize(x), 1)):
+        plan = rows.select(f(x, y).alias("c"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("reverse(") == n
+
+
 def test_kinds_agree_on_small_integers(spark):
     rng = random.Random(1)
     rows = [([float(rng.randrange(-2, 2)) for _ in range(5)], [float(rng.randrange(-2, 2)) for _ in range(5)]) for _ in range(300)]
