@@ -11,7 +11,7 @@ from ..operators import aggregates, knn
 from ..operators.ivf import IvfIndex
 from ..operators.lsm import LsmIndex
 from ..operators.ranking import global_rank
-from ..storage import fresh_path
+from ..storage import fresh_path, written
 from ..streaming.ingest import ingest, slide, tumbling
 from .catalog import Catalog
 
@@ -606,17 +606,21 @@ def ivf_relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CATALOG.add("ivf_recall_full", "SELECT 20 AS probes, 1.0::DOUBLE AS recall")
 def ivf_recall_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With all lists read the recall is one."""
-    return ivf_recall(spark, sf_dir).where("probes = 20")
+    return _recall(spark, sf_dir, 20)
 
 
 @CATALOG.add("ivf_recall")
 def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall at 10 by number of lists read, over all stored vectors as queries."""
+    return _recall(spark, sf_dir, 1, 5, 10, 20)
+
+
+def _recall(spark: SparkSession, sf_dir: str, *probes: int) -> DataFrame:
     rows = vectors(spark, sf_dir)
     index = _index(spark, rows)
     queries = rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    truth = knn.batch(rows, queries, K, "l2", "embedding", "vec_id")
-    got = [(p, knn.recall(index.search_batch(spark, queries, K, p), truth, K)) for p in (1, 5, 10, 20)]
+    truth = written(knn.batch(rows, queries, K, "l2", "embedding", "vec_id"), "truth")
+    got = [(p, knn.recall(index.search_batch(spark, queries, K, p), truth, K)) for p in probes]
     return spark.createDataFrame(got, "probes int, recall double")
 
 

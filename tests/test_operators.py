@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearfield.functions import dense, sparse
-from nearfield.operators import aggregates, knn
+from nearfield.operators import aggregates, blocks, knn
 from nearfield.operators.ivf import IvfIndex, option
 from nearfield.operators.lsm import LsmIndex
 from nearfield.sources import vecfiles
@@ -339,3 +339,60 @@ def test_vector_files_of_a_folder_have_ids_of_their_own(spark, tmp_path, fmt):
     assert vecfiles.write_vector_files(df, folder, fmt) == 50
     got = {r.id: r.vector for r in vecfiles.read_vectors(spark, folder, fmt).collect()}
     assert sorted(got) == list(range(50)) and all(np.allclose(got[k], rows[k][1]) for k in got)
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip", "cosine", "l1"])
+def test_batch_search_of_lists_is_no_join_of_pairs(spark, tmp_path, monkeypatch, metric):
+    df, rows = frame(spark, 300)
+    index = IvfIndex.build(df, str(tmp_path / "i"), metric=metric, lists=6)
+    queries = df.where("id < 12").select("id", "vector")
+    assert "Join" not in index.search_batch(spark, queries, 5, 2)._jdf.queryExecution().optimizedPlan().toString()
+    for block in (knn.BLOCK_BYTES, 300):  # with small blocks: several passes
+        monkeypatch.setattr(knn, "BLOCK_BYTES", block)
+        got = index.search_batch(spark, queries, 5, 2).collect()
+        for q in range(12):
+            want = index.search(spark, rows[q][1], 5, probes=2).collect()
+            mine = sorted((r["rank"], r.id, r.distance) for r in got if r.query_id == q)
+            assert [m[1] for m in mine] == [r.id for r in want]
+            assert [m[2] for m in mine] == pytest.approx([r.distance for r in want], rel=1e-6, abs=1e-6)
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip", "cosine", "l1"])
+def test_similarity_join_is_no_join_of_pairs(spark, monkeypatch, metric):
+    rng = np.random.default_rng(3)
+    x = np.float32(rng.normal(size=(90, 5)) + np.where(np.arange(90) % 3 == 0, 1000, 0)[:, None])
+    x[7], x[11] = x[5], 0
+    df = spark.createDataFrame([(k, [float(y) for y in v]) for k, v in enumerate(x)], "id long, vector array<float>")
+    radius = {"l2": 1.5, "ip": 0.5, "cosine": 0.3, "l1": 2.5}[metric]
+    far = knn.METRICS[metric](F.col("a.vector"), F.col("b.vector"))
+    want = df.alias("a").join(df.alias("b"), far < radius).select("a.id", "b.id", far).collect()
+    for block in (knn.BLOCK_BYTES, 900):
+        monkeypatch.setattr(knn, "BLOCK_BYTES", block)
+        got = knn.similarity_join(df, df, radius, metric, lists=4)
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
+
+
+def test_batch_meets_equal_vectors_once(spark, monkeypatch):
+    df = spark.createDataFrame([(k, [float(k % 2), float(k % 3)]) for k in range(120)], "id long, vector array<float>").repartition(3)
+    sizes, real = [], blocks.query_blocks
+    monkeypatch.setattr(blocks, "query_blocks", lambda *a: (sizes.append(b.num_rows) or b for b in real(*a)))
+    got = knn.batch(df, df, 25).collect()
+    assert sizes == [6] and len(got) == 120 * 25
+    for q in (0, 5, 119):
+        want = sorted((((k % 2 - q % 2) ** 2 + (k % 3 - q % 3) ** 2) ** 0.5, k) for k in range(120))[:25]
+        assert [(r.distance, r.id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
+
+
+def test_blocks_agree_with_distances_in_order():
+    rng = np.random.default_rng(5)
+    for metric in blocks.METRICS:
+        for shift, scale in ((0, 1), (1e4, 1), (0, 1e17), (0, 1e-21)):
+            x = np.float32((rng.integers(0, 3, (500, 4)) + shift) * scale).astype(np.float64)
+            nearest = blocks.Nearest(blocks.Block(metric, x[:40]), 6)
+            for at in range(0, 500, 120):
+                nearest.meet(np.arange(500)[at : at + 120], x[at : at + 120])
+            of, own, d = nearest.found()
+            for q in range(40):
+                all_d = blocks.pair_distances(metric, np.repeat(x[q : q + 1], 500, axis=0), x)
+                assert own[of == q].tolist() == np.lexsort((np.arange(500), all_d))[:6].tolist()
