@@ -444,6 +444,21 @@ def test_a_short_version_in_the_smallest_document_hides_no_edited_repeat(spark):
     assert got == {(k + 2, k + 1) for k in range(0, n, 3)}
 
 
+def test_an_edited_repeat_of_documents_joined_elsewhere_is_found(spark):
+    """As above, and both repeat another passage of the first document, which joins all three."""
+    rng, rows, n = random.Random(80), [], 0
+    for _ in range(60):
+        shared, more = prose(rng, rng.choice([58, 60, 64]), 9000).split(), prose(rng, 70, 9000).split()
+        other = shared.copy()
+        other[rng.randrange(20, 40)] = "changed"
+        for words in (shared[:46], shared, other):
+            rows.append((n, " ".join([prose(rng, 200, 9000), *words, prose(rng, 200, 9000), *more, prose(rng, 30, 9000)]), "x"))
+            n += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string").repartition(3)
+    got = {(r.doc_id, r.source_doc_id) for r in substrings.repeated_passages(df).collect()}
+    assert {(k + 2, k + 1) for k in range(0, n, 3)} <= got
+
+
 def test_a_repeat_of_a_linked_document_is_found(spark):
     """The second document of a case repeats the first one but for two words; the third repeats the second one's part between them."""
     rng, rows, n = random.Random(79), [], 0
