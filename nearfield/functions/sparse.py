@@ -88,13 +88,14 @@ def l2_norm(a: Arg) -> Column:
 
 def _without_zeros(dim: Column, indices: Column, values: Column) -> Column:
     kept = F.filter(F.arrays_zip(indices.alias("i"), values.alias("x")), lambda p: p["x"] != 0)
-    return bound(kept, lambda k: sparse(dim, F.transform(k, lambda p: p["i"]), F.transform(k, lambda p: p["x"])))
+    return sparse(dim, F.transform(kept, lambda p: p["i"]), F.transform(kept, lambda p: p["x"]))
 
 
 def l2_normalize(a: Arg) -> Column:
     """Unit length; entries that underflow to zero are dropped."""
-    unit = lambda a: _without_zeros(a["dim"], a["indices"], scaled_by(a["values"], l2_norm(a)))
-    return bound(a, lambda a: F.when(a.isNotNull(), unit(a)))
+    a = col(a)
+    scaled = scaled_by(a["values"], l2_norm(a))
+    return F.when(a.isNotNull(), _without_zeros(a["dim"], a["indices"], scaled))
 
 
 def sparsevec_cmp(a: Arg, b: Arg) -> Column:
@@ -146,13 +147,12 @@ def sort_key(a: Arg) -> Column:
 
 
 def from_dense(a: Arg) -> Column:
-    def body(a: Column) -> Column:
-        made = _without_zeros(F.size(a), F.sequence(F.lit(0), F.size(a) - 1), a)
-        stored = F.size(F.filter(a, lambda x: x != 0))
-        over = stored > SPARSE_MAX_NNZ
-        return F.when(a.isNotNull(), fail_if(over, f"sparsevec cannot have more than {SPARSE_MAX_NNZ} non-zero elements", made))
-
-    return bound(a, body)
+    """(Binds no lambda variable: Python functions over nested ones cannot be planned.)"""
+    a = col(a)
+    made = _without_zeros(F.size(a), F.sequence(F.lit(0), F.size(a) - 1), a)
+    stored = F.size(F.filter(a, lambda x: x != 0))
+    over = stored > SPARSE_MAX_NNZ
+    return F.when(a.isNotNull(), fail_if(over, f"sparsevec cannot have more than {SPARSE_MAX_NNZ} non-zero elements", made))
 
 
 def to_dense(a: Arg) -> Column:
