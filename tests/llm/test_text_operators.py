@@ -305,6 +305,22 @@ def test_compact_windows_cover_each_subsequence_once(values, least):
             assert len(inside) == 1 and h[inside[0]] == h[i : j + 1].min()
 
 
+def test_windows_of_many_texts_equal_those_of_each_tree():
+    rng, least = np.random.default_rng(9), 12
+    texts = [rng.integers(0, k, n).astype(np.uint64) for k in (1, 3, 40, 1 << 60) for n in (0, 11, 12, 13, 60, 400)]
+    key, at, text = substrings.keys_of_texts(texts, least)
+    for k, g in enumerate(texts):
+        want, near = {}, substrings._running_min(substrings._mix(g, 1000), least // 2 + 1) if len(g) >= least else g
+        for f in range(substrings.FUNCTIONS):
+            h = substrings._mix(g, f + 1)
+            for low, c, high in substrings.compact_windows(h, least):
+                for side, some, first in ((1, c - low, c - least // 2), (2, high - c, c)):
+                    if some >= least // 2:
+                        x = substrings._mix(h[c : c + 1] ^ substrings._mix(near[first : first + 1], 2 * f + side), 76 + side)[0]
+                        want[int(x)] = min(c, want.get(int(x), c))
+        assert dict(zip(key[text == k].tolist(), at[text == k].tolist())) == want
+
+
 def passage_rows():
     rng = random.Random(4)
     shared = prose(rng, 60, 9000)
