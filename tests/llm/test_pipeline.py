@@ -61,3 +61,16 @@ def test_run_encodes_what_is_left(spark, folder):
         assert r.n_tokens * 4 == len(r.ids)
         if r.doc_id in texts and r.doc_id != 203:
             assert tok.decode_packed(bytes(r.ids)) == (texts[r.doc_id] or "")
+
+
+def test_repeats_are_cut_from_rows_whose_id_is_null_or_repeated(spark):
+    rng = random.Random(13)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghijklm", k=rng.randrange(3, 9))) for _ in range(n))
+    one, two = prose(60), prose(70)
+    texts = [f"{prose(80)} {one} {prose(80)}", f"{prose(90)} {one}", f"{prose(300)} {two}", "aa " + prose(9), f"{prose(30)} {two}"]
+    rows = [(k, t, "en", "s", len(t)) for k, t in zip([1, None, 5, 5, None], texts)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = sorted((r.doc_id or 0, len(r.text.split()), one in r.text, two in r.text) for r in corpus_pipeline.cut_repeats(spark, docs, "").collect())
+    rest = {g[:2] for g in got if g[2] or g[3]}
+    assert len(got) == 5 and [g[0] for g in got] == [0, 0, 1, 5, 5] and (1, 220) in rest and len(rest) == 2
+    assert (5, 10) in {g[:2] for g in got} and (0, 90) in {g[:2] for g in got}
