@@ -658,3 +658,24 @@ def test_decontamination_does_not_leave_out_seeds(spark):
 def test_bound_of_an_alignment(a, b):
     a, b = np.array(a, np.uint64), np.array(b, np.uint64)
     assert decontaminate.most(a, b) >= decontaminate.align(a, b)[0]
+
+
+def test_pairs_of_texts_are_aligned_together_as_one_by_one(monkeypatch):
+    from nearfield.llm import substrings
+
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(6):
+        b = rng.integers(0, 1 << 32, 400, dtype=np.uint32)
+        edited = b.copy()
+        edited[rng.integers(0, 400, 9)] = 7
+        other = rng.integers(0, 1 << 32, 300, dtype=np.uint32)
+        twice = np.concatenate([b[50:120], other[:80], b[40:130]])
+        texts += [(a, b) for a in (b.copy(), edited, other, twice, b[:20], np.tile(b[:5], 60))]
+    texts.append((np.tile(texts[0][1][:5], 60), np.tile(texts[0][1][:5], 70)))  # too many pairs of equal shingles
+    alone = [substrings.common_passages(a, b, 46, 0.8) for a, b in texts]
+    assert sum(map(bool, alone)) >= 18
+    calls, chained = [], substrings._chained
+    monkeypatch.setattr(substrings, "_chained", lambda *a: calls.append(1) or chained(*a))
+    assert substrings.passages_of_pairs(texts, 46, 0.8) == alone
+    assert len(calls) <= 4  # not one or two for each pair
